@@ -88,7 +88,7 @@ def organism_short(text: Column) -> Column:
 
 
 def keyword_list(text: Column, limit: int = 20) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p))
     return F.slice(F.filter(parts, lambda p: p != ""), 1, limit)
 
 

@@ -110,16 +110,18 @@ def similarity_groups(
     rows = df.select(F.col(ident).alias("id"), F.col(seq).alias("seq"))
     near, members = similar_sequences(rows.filter("seq is not null"), None, k, threshold)
     if coverage is not None:
-        lengths = rows.groupBy(F.sha2("seq", 256).alias("sig")).agg(F.max(F.length("seq")).alias("len"))
-        a = lengths.select(F.col("sig").alias("sa"), F.col("len").alias("la"))
-        b = lengths.select(F.col("sig").alias("sb"), F.col("len").alias("lb"))
-        near = near.join(a, "sa").join(b, "sb").filter(F.least("la", "lb") >= F.greatest("la", "lb") * coverage)
-    parts = connected_components(near, "sa", "sb")
-    placed = members.select("id", "sig").join(parts, F.col("sig") == F.col("node"), "left").select(
-        "id", F.coalesce("component", "sig").alias("part")
+        lengths = members.join(rows.select("id", F.length("seq").alias("len")), "id").groupBy("key").agg(F.max("len").alias("len"))
+        a = lengths.select(F.col("key").alias("ka"), F.col("len").alias("la"))
+        b = lengths.select(F.col("key").alias("kb"), F.col("len").alias("lb"))
+        near = near.join(a, "ka").join(b, "kb").filter(F.least("la", "lb") >= F.greatest("la", "lb") * coverage)
+    parts = connected_components(near, "ka", "kb")
+    placed = members.join(parts, F.col("key") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "key").alias("part")
     )
-    names = placed.groupBy("part").agg(F.min("id").alias("group_id"))
-    return placed.join(names, "part").select("id", "group_id")
+    names = placed.groupBy("part").agg(F.min("id").alias("name"))
+    grouped = placed.join(names, "part").select("id", F.col("name").alias("group_id"))
+    # rows too short for one k-mer stay alone
+    return rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def identity_groups(

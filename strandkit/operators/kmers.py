@@ -60,9 +60,9 @@ def similar_sequences(
 ) -> tuple[DataFrame, DataFrame]:
     """Exact k-mer Jaccard join of (id, seq) tables, on distinct sequences.
 
-    Returns ``near`` (sa, sb, jaccard) over sequence digests and ``members``
-    (side, id, sig).  Without ``right`` the pairs are those of ``left`` with
-    itself, sa < sb.  Copies share a digest, so they never multiply candidates.
+    Returns ``near`` (ka, kb, jaccard) over keys of distinct sequences and
+    ``members`` (side, id, key).  Without ``right`` the pairs are those of ``left``
+    with itself, ka < kb.  Copies share a key, so they never multiply candidates.
 
     Two sets that reach the threshold share an element of their prefixes when
     elements are ordered by rarity (prefix filtering), so frequent k-mers never
@@ -71,55 +71,56 @@ def similar_sequences(
     """
     tag = lambda df, side: df.select(F.lit(side).alias("side"), "id", F.sha2("seq", 256).alias("sig"), "seq")
     rows = tag(left, 0) if right is None else tag(left, 0).unionByName(tag(right, 1))
-    members = rows.select("side", "id", "sig")
     texts = rows.groupBy("sig").agg(
-        F.first("seq").alias("seq"),
-        F.min("side").alias("low"), F.max("side").alias("high"),
+        F.first("seq").alias("seq"), F.min("side").alias("low"), F.max("side").alias("high"),
     )
     hashes = F.transform(windows(F.col("seq"), k), lambda w: F.xxhash64(w))
-    # Read several times below; the checkpoint avoids cutting the texts again.
+    # The checkpoint keeps the short keys fixed and the texts from being cut again.
     sets = reliable_checkpoint(
         texts.select("sig", "low", "high", F.array_distinct(hashes).alias("kset"))
         .withColumn("size", F.size("kset")).filter("size > 0")
+        .withColumn("key", F.monotonically_increasing_id())
     )
-
-    elements = sets.select("sig", "size", "low", "high", F.explode("kset").alias("e"))
-    frequency = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
-    ordered = elements.join(frequency, "e").groupBy("sig", "size", "low", "high").agg(
-        F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")
-    )
+    members = rows.select("side", "id", "sig").join(sets.select("sig", "key"), "sig").select("side", "id", "key")
+
+    elements = sets.select("key", "size", F.explode("kset").alias("e"))
+    frequency = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # An element of one set only cannot match: such elements fill the prefix first.
+    ordered = elements.join(frequency, "e").groupBy("key").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")
+    ).join(sets.select("key", "low", "high"), "key")
     length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    prefixes = ordered.withColumn("rest", F.col("size") - length).select(
-        "sig", "size", "rest", "low", "high",
-        F.explode(F.filter(F.slice("es", F.lit(1), length), lambda x: x["df"] > 1)["e"]).alias("e"),
-    )
-    x = prefixes.filter("low = 0").select("e", F.col("sig").alias("sa"), F.col("size").alias("na"), F.col("rest").alias("ra"))
-    y = prefixes.select("e", F.col("sig").alias("sb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), "high")
-    apart = F.col("sa") < F.col("sb") if right is None else (F.col("sa") != F.col("sb")) & (F.col("high") == 1)
+    kept = F.greatest(length - (F.col("size") - F.size("es")), F.lit(0))
+    # Both sides of the join below read the prefixes.
+    prefixes = reliable_checkpoint(ordered.withColumn("rest", F.col("size") - length).select(
+        "key", "size", "rest", "low", "high", F.explode(F.slice("es", F.lit(1), kept)["e"]).alias("e"),
+    ))
+    x = prefixes.filter("low = 0").select("e", F.col("key").alias("ka"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    y = prefixes.select("e", F.col("key").alias("kb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), "high")
+    apart = F.col("ka") < F.col("kb") if right is None else (F.col("ka") != F.col("kb")) & (F.col("high") == 1)
     fits = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-    needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - F.greatest("ra", "rb") - 1e-9
     candidates = (
-        x.join(y, "e").filter(apart & fits)
-        .groupBy("sa", "sb", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") + F.greatest("ra", "rb") >= needed)
-        .select("sa", "sb")
+        x.join(y, "e").filter(apart & fits).select("ka", "kb", needed.alias("needed"))
+        .groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
+        .filter("shared >= needed").select("ka", "kb")
     )
-    a = sets.select(F.col("sig").alias("sa"), F.col("kset").alias("ka"))
-    b = sets.select(F.col("sig").alias("sb"), F.col("kset").alias("kb"))
-    shared = F.size(F.array_intersect("ka", "kb"))
-    near = candidates.join(a, "sa").join(b, "sb").select(
-        "sa", "sb", (shared / (F.size("ka") + F.size("kb") - shared)).alias("jaccard")
+    a = sets.select(F.col("key").alias("ka"), F.col("kset").alias("sa"))
+    b = sets.select(F.col("key").alias("kb"), F.col("kset").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    near = candidates.join(a, "ka").join(b, "kb").select(
+        "ka", "kb", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")
     ).filter(F.col("jaccard") >= threshold - 1e-12)
     if right is not None:
         equal = sets.filter("low = 0 and high = 1").select(
-            F.col("sig").alias("sa"), F.col("sig").alias("sb"), F.lit(1.0).alias("jaccard")
+            F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("jaccard")
         )
         near = near.unionByName(equal)
     return near, members
 
 
-def _representatives(members: DataFrame, side: int, sig: str, ident: str) -> DataFrame:
-    return members.filter(F.col("side") == side).groupBy(F.col("sig").alias(sig)).agg(F.min("id").alias(ident))
+def _representatives(members: DataFrame, side: int, key: str, ident: str) -> DataFrame:
+    return members.filter(F.col("side") == side).groupBy(F.col("key").alias(key)).agg(F.min("id").alias(ident))
 
 
 def _slim(df: DataFrame, ident: str, seq: str) -> DataFrame:
@@ -131,8 +132,8 @@ def jaccard_pairs(
 ) -> DataFrame:
     """(a, b, jaccard) over distinct sequences, each named by its smallest id."""
     near, members = similar_sequences(_slim(df, ident, seq), None, k, threshold)
-    x, y = _representatives(members, 0, "sa", "x"), _representatives(members, 0, "sb", "y")
-    return near.join(x, "sa").join(y, "sb").select(
+    x, y = _representatives(members, 0, "ka", "x"), _representatives(members, 0, "kb", "y")
+    return near.join(x, "ka").join(y, "kb").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"
     )
 
@@ -143,8 +144,8 @@ def best_match(
 ) -> DataFrame:
     """(a, b, jaccard): the most similar right row of each left row, ties by id."""
     near, members = similar_sequences(_slim(left, ident, seq), _slim(right, ident, seq), k, threshold)
-    best = near.join(_representatives(members, 1, "sb", "b"), "sb").groupBy("sa").agg(
+    best = near.join(_representatives(members, 1, "kb", "b"), "kb").groupBy("ka").agg(
         F.min_by(F.struct("b", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "b")).alias("best")
     )
-    rows = members.filter("side = 0").select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    return rows.join(best, "sa").select("a", "best.b", "best.jaccard")
+    rows = members.filter("side = 0").select(F.col("id").alias("a"), F.col("key").alias("ka"))
+    return rows.join(best, "ka").select("a", "best.b", "best.jaccard")

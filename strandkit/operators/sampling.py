@@ -231,7 +231,6 @@ def substituted_pairs(
         rows = rows.orderBy(fc.hash_order(seed, F.col(ident)), ident).limit(n)
     pos = fc.hash_index(seed, F.length("wild"), F.col(ident), F.lit("pos")) + 1
     rows = rows.withColumn("pos", pos.cast("int")).withColumn("__wt", F.substring("wild", F.col("pos"), F.lit(1)))
-    others = F.translate(F.lit(alphabet), F.col("__wt"), F.lit(""))
     pick = fc.hash_index(seed, F.length(F.col("__alt")), F.col(ident), F.lit("mut")) + 1
     return rows.withColumn("__alt", F.replace(F.lit(alphabet), F.col("__wt"), F.lit(""))).withColumn(
         "mutated", F.overlay("wild", F.substring("__alt", pick.cast("int"), F.lit(1)), F.col("pos"), F.lit(1))

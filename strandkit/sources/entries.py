@@ -77,7 +77,7 @@ def domain_table(rows: DataFrame, corpus: DataFrame, ident: str, text: str) -> D
 
 def structure_table(rows: DataFrame, corpus: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, pdb_ids): trimmed cross-references of corpus rows that have any."""
-    ids = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), ";"), F.trim), lambda p: p != "")
+    ids = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
     kept = rows.join(corpus.select(ident), ident, "left_semi")
     return kept.select(ident, ids.alias("pdb_ids")).filter(F.size("pdb_ids") > 0)
 
