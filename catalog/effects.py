@@ -323,6 +323,24 @@ def variant_effects(spark, sf):
     return out.select("id", "pos", "wt", "mut", "displacement", "relative_displacement", "cosine", "global_delta", "local_delta")
 
 
+@query("variant_residue_deltas", f"""
+WITH {RES_SQL}, d AS (SELECT id, pos, list_distance(v, list_reverse(v)) AS d FROM r)
+SELECT id, round(avg(d) FILTER (pos BETWEEN 12 AND 28), 6) AS local_delta, round(avg(d), 6) AS global_delta,
+  string_agg(round(d, 3)::DECIMAL(9, 3)::VARCHAR, ',' ORDER BY pos) AS deltas FROM d GROUP BY id""")
+def variant_residue_deltas(spark, sf):
+    wild = residues(store(spark, sf))
+    mutant = wild.select("id", F.col("id").alias("variant"), "pos", F.reverse("vector").alias("vector"))
+    sites = wild.select(F.col("id").alias("variant")).distinct().withColumn("pos", F.lit(20))
+    deltas = va.residue_deltas(wild, mutant)
+    out = va.delta_profile(deltas, sites)
+    listed = deltas.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("l")).select(
+        "variant", F.concat_ws(",", F.transform("l", lambda e: F.round(e["delta"], 3).cast("decimal(9,3)").cast("string"))).alias("deltas")
+    )
+    return out.join(listed, "variant").select(
+        F.col("variant").alias("id"), F.round("local_delta", 6).alias("local_delta"), F.round("global_delta", 6).alias("global_delta"), "deltas"
+    )
+
+
 @query("variant_top_dimensions", """
 WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT a.id, list_transform(list_zip(a.v, b.v), lambda z: z[2] - z[1]) AS d FROM e a JOIN e b ON b.id = a.id + 1),
@@ -430,7 +448,7 @@ def traj_path(spark, sf):
 
 # three steps on compositions: every step moves one letter
 @query("traj_mutations", f"""
-WITH {CHAIN_SQL}, f AS (SELECT id, s, m2[-1] = s[1] AS back FROM z WHERE reason IS NULL)
+WITH {CHAIN_SQL}, f AS (SELECT id, s FROM z WHERE s[1] <> 'W' AND s2[3] = m3[1] AND m3[1] <> m3[-1])
 SELECT id, 3::BIGINT AS n_steps, round(3 * sqrt(2.0) / length(s), 6) AS path_length FROM f""")
 def traj_mutations(spark, sf):
     _, summary, _ = trajectories(chain_rows(spark, sf), em.OneHotEncoder(LETTERS), lengths=(1, 2048), alphabet=LETTERS)

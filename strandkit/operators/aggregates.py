@@ -71,7 +71,7 @@ def coverage(features: DataFrame, corpus: DataFrame, ident: str, n_items: Column
         (F.sum(n_items) if n_items is not None else F.count(F.lit(1))).alias("n_items"),
     )
     b = corpus.agg(F.countDistinct(ident).alias("n_corpus"))
-    return one_row(a, b).withColumn("coverage", F.round(F.col("n_ids") / F.col("n_corpus"), 4))
+    return one_row(a, b).withColumn("coverage", F.round(F.try_divide(F.col("n_ids"), F.col("n_corpus")), 4))
 
 
 def cluster_positions(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:

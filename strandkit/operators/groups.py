@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandkit import constants as C
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = None
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # link every larger neighbour to the smallest one
+        # link every larger neighbour to the smallest one; repeats go away below
         large = both.filter("v > u").join(_smallest_neighbour(both), "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")
-        ).distinct()
+        )
         # link the node and its smaller neighbours to the smallest one
         lows = _smallest_neighbour(large)
         small = (
@@ -42,11 +42,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(lows.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        current = reliable_checkpoint(small)
-        seen = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state:
+        # the edge set is compared by count and hash sum, observed while it is written
+        seen = Observation()
+        current = reliable_checkpoint(small.observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        ))
+        if seen.get == state:
             break
-        state = (seen["n"], seen["h"])
+        state = seen.get
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(current, nodes["node"] == current["u"], "left").select(

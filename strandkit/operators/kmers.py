@@ -35,24 +35,26 @@ def composition(df: DataFrame, ident: str, seq: str, alphabet: str = C.AMINO_ACI
 
 
 def sparse_cosine(pairs: DataFrame, features: DataFrame, ident: str) -> DataFrame:
-    """Cosine of two sparse feature rows for each pair of a pair table (a, b)."""
-    keyed = pairs.withColumn("__pair", F.monotonically_increasing_id())
-    # Only rows named by a pair take part; pair tables have a fixed size.
+    """Adds ``cosine`` of two sparse feature rows to a pair table (a, b, ...).
+
+    Products come from equi-joins on (row, k-mer), one row per shared k-mer.
+    """
+    keys = pairs.columns
     named = pairs.select(F.col("a").alias(ident)).unionByName(pairs.select(F.col("b").alias(ident))).distinct()
-    rows = features.join(named, ident, "left_semi").groupBy(ident).agg(
-        F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("v"),
-        F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("norm"),
+    rows = features.join(named, ident, "left_semi").select(ident, "kmer", "freq")
+    left = rows.select(F.col(ident).alias("a"), "kmer", F.col("freq").alias("fa"))
+    right = rows.select(F.col(ident).alias("b"), "kmer", F.col("freq").alias("fb"))
+    products = pairs.join(left, "a").join(right, ["b", "kmer"]).groupBy(*keys).agg(
+        F.sum(F.col("fa") * F.col("fb")).alias("__dot")
     )
-    left = rows.select(F.col(ident).alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
-    right = rows.select(F.col(ident).alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    product = F.aggregate(
-        F.map_entries("va"), F.lit(0.0),
-        lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)),
+    norms = rows.groupBy(ident).agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("__norm"))
+    out = (
+        pairs.join(norms.select(F.col(ident).alias("a"), F.col("__norm").alias("__na")), "a", "left")
+        .join(norms.select(F.col(ident).alias("b"), F.col("__norm").alias("__nb")), "b", "left")
+        .join(products, keys, "left")
     )
-    return keyed.drop("__pair").join(left, "a", "left").join(right, "b", "left").withColumn(
-        "cosine",
-        F.coalesce(product / F.greatest(F.col("na") * F.col("nb"), F.lit(C.EPSILON)), F.lit(0.0)),
-    ).drop("va", "vb", "na", "nb")
+    cosine = F.col("__dot") / F.greatest(F.col("__na") * F.col("__nb"), F.lit(C.EPSILON))
+    return out.select(*keys, F.coalesce(cosine, F.lit(0.0)).alias("cosine"))
 
 
 def similar_sequences(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.stats import spearman_p_value
-from strandkit.operators.ranking import cumulative_before
+from strandkit.operators.ranking import cumulative_before, slice_bounds
 
 
 def one_row(*tables: DataFrame) -> DataFrame:
@@ -114,15 +114,24 @@ def auroc_one_vs_rest(df: DataFrame, truth: str, class_scores: str, by: list[str
     )
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r as an aggregate; null where one side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def pearson(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson_r"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(x), F.col(y)).alias("pearson_r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Rank correlation with average ranks, and its two-sided p value."""
     by = list(by)
-    cells = df.dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
-    weighted = lambda col, rank: _weighted_ranks(cells, by, col, rank)
+    rows = df.dropna(subset=[x, y])
+    cells = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    bounds = dict(zip((x, y), slice_bounds(rows, [x, y])))
+    weighted = lambda col, rank: _weighted_ranks(cells, by, col, rank, bounds[col])
     joined = cells.join(weighted(x, "rx"), [*by, x]).join(weighted(y, "ry"), [*by, y])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     # ranks of n rows always average (n + 1) / 2
@@ -138,9 +147,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     return out.withColumn("p_value", spearman_p_value(F.col("rho"), F.col("n")))
 
 
-def _weighted_ranks(cells: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
+def _weighted_ranks(cells: DataFrame, by: list[str], value: str, rank: str, bounds: list[float]) -> DataFrame:
     counts = cells.groupBy(*by, value).agg(F.sum("w").alias("n"))
-    ranked = cumulative_before(counts, by, value, ["n"])
+    ranked = cumulative_before(counts, by, value, ["n"], bounds)
     return ranked.select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(rank))
 
 

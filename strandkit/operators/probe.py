@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandkit.functions import vectors as fv
 from strandkit.operators.metrics import accuracy_and_macro_f1, auroc, auroc_one_vs_rest, one_row
@@ -67,11 +68,12 @@ def run_probe(
     return one_row(basic, area)
 
 
-def metric_rows(result: DataFrame, representation: str, axis: str, task: str) -> DataFrame:
-    """Long form (representation, axis, task, metric, value) of a one-row result."""
-    cols = result.columns
+def metric_rows(result: DataFrame, representation: str, axis: str, task: str | Column) -> DataFrame:
+    """Long form (representation, axis, task, metric, value) of a small result; a
+    column as task names the rows."""
+    cols = [f.name for f in result.schema.fields if isinstance(f.dataType, T.NumericType)]
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])
     return result.select(
-        F.lit(representation).alias("representation"), F.lit(axis).alias("axis"), F.lit(task).alias("task"),
+        F.lit(representation).alias("representation"), F.lit(axis).alias("axis"), (F.lit(task) if isinstance(task, str) else task.cast("string")).alias("task"),
         F.explode(pairs).alias("m"),
     ).select("representation", "axis", "task", "m.metric", "m.value")

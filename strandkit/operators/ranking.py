@@ -112,16 +112,25 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     )
 
 
+def slice_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
+    """Approximate quantiles that cut each column into slices, in one pass.
+
+    They only balance the slices; ranks computed with them are exact."""
+    width = min(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    marks = [i / width for i in range(1, width)]
+    if not marks:
+        return [[] for _ in values]
+    row = df.agg(*[F.percentile_approx(F.col(v).cast("double"), marks, 10000) for v in values]).first()
+    return [sorted(set(b or [])) for b in row]
+
+
 def cumulative_before(
-    df: DataFrame, by: list[str], value: str, weights: list[str], slices: int | None = None
+    df: DataFrame, by: list[str], value: str, weights: list[str], bounds: list[float] | None = None
 ) -> DataFrame:
     """Adds ``<w>_before``: the sum of each weight over smaller values in the group,
     and ``<w>_total``.  ``df`` must hold each (group, value) once."""
-    width = slices or min(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    splits = [float("-inf"), *(slice_bounds(df, [value])[0] if bounds is None else bounds), float("inf")]
     as_double = df.withColumn("__v", F.col(value).cast("double"))
-    marks = [i / width for i in range(1, width)]
-    bounds = as_double.agg(F.percentile_approx("__v", marks, 10000).alias("b")).first()["b"] if marks else []
-    splits = [float("-inf"), *sorted(set(bounds or [])), float("inf")]
     sliced = (
         Bucketizer(splits=splits, inputCol="__v", outputCol="__slice").transform(as_double)
         if len(splits) > 2 else as_double.withColumn("__slice", F.lit(0.0))

@@ -70,7 +70,7 @@ def proportional_sample(
     quotas = counts.select(
         F.col(stratum).alias("__stratum"),
         F.when(total <= target, F.col("__n"))
-        .otherwise(F.greatest(F.lit(1), F.bround(F.col("__n") * (F.lit(float(target)) / total)).cast("long")))
+        .otherwise(F.greatest(F.lit(1), F.bround(F.col("__n") * F.try_divide(F.lit(float(target)), total)).cast("long")))
         .alias("__quota"),
     )
     pool = random_rank_in_group(tagged.filter(~F.col("__keep")), [stratum], [ident], seed, rank="__rank", size="__size")
@@ -93,7 +93,7 @@ def weighted_stratified_sample(
     # 1 - u^(1/w) grows from 0 to 1 as the sampling key falls
     place = 1 - F.pow(fc.hash_fraction(seed, F.col(ident)), 1 / F.col("__w"))
     ranked = rank_in_group(rest, [stratum], place, [F.col(ident)], "__rank", "__size")
-    share = (F.lit(size) - n_kept) / n_all
+    share = F.coalesce(F.try_divide(F.lit(size) - n_kept, n_all), F.lit(0.0))
     quota = F.greatest(F.lit(1), F.bround(F.col("__size") * share).cast("long"))
     chosen = ranked.filter(F.col("__rank") <= quota)
     return tagged.filter("__keep").select(*df.columns).unionByName(chosen.select(*df.columns))
@@ -117,7 +117,7 @@ def bundle_subset(
     fixed, rest = tagged.filter("__in"), tagged.filter(~F.col("__in"))
     n_fixed = fixed.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_rest = rest.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.greatest(F.lit(size) - n_fixed, F.lit(0)) / n_rest
+    share = F.coalesce(F.try_divide(F.greatest(F.lit(size) - n_fixed, F.lit(0)), n_rest), F.lit(0.0))
     ranked = random_rank_in_group(rest, [stratum], [ident], seed, rank="__rank", size="__size")
     quota = F.when(share > 0, F.greatest(F.lit(1), F.bround(F.col("__size") * share).cast("long"))).otherwise(0)
     chosen = ranked.filter(F.col("__rank") <= quota)

@@ -14,6 +14,7 @@ from strandkit.operators.kmers import kmer_frequencies, sparse_cosine
 from strandkit.operators.metrics import pair_distribution
 from strandkit.operators.ranking import rank_in_group
 from strandkit.operators.sampling import split_pairs
+from strandkit.session import reliable_checkpoint
 
 METHODS = ("annotation", "identity")
 
@@ -111,10 +112,12 @@ def audit_leakage(
     seed: int = 42, alphabet: str | None = C.AMINO_ACIDS,
 ) -> DataFrame:
     """k-mer cosine of sampled train-test pairs against train-train pairs."""
-    pairs = split_pairs(df, split, ident, n_pairs, seed)
+    pairs = reliable_checkpoint(split_pairs(df, split, ident, n_pairs, seed))
     named = pairs.select(F.col("a").alias(ident)).unionByName(pairs.select(F.col("b").alias(ident))).distinct()
     sampled = df.select(ident, seq).join(named, ident, "left_semi")
-    return pair_distribution(sparse_cosine(pairs, kmer_frequencies(sampled, ident, seq, k, alphabet), ident), "stratum", "cosine")
+    # the features of the sampled rows only, read on both sides of every pair
+    features = reliable_checkpoint(kmer_frequencies(sampled, ident, seq, k, alphabet))
+    return pair_distribution(sparse_cosine(pairs, features, ident), "stratum", "cosine")
 
 
 def split_statistics(groups: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from strandkit import constants as C
 from strandkit.functions import columns as fc
-from strandkit.functions import vectors as fv
 from strandkit.operators import variants as va
-from strandkit.operators.embed import Encoder, embed, encode_residues
+from strandkit.operators.embed import Encoder, embed, encode_changes
+from strandkit.operators.pooling import AttentionWeights
 
 
 def parsed_requests(requests: DataFrame, seq: str, alphabet: str = C.AMINO_ACIDS) -> DataFrame:
@@ -24,33 +24,26 @@ def parsed_requests(requests: DataFrame, seq: str, alphabet: str = C.AMINO_ACIDS
 def substitution_effects(
     variants: DataFrame, encoder: Encoder, seq: str = "sequence", pooling: str = "mean",
     lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS, window: int = C.SITE_WINDOW,
+    weights: AttentionWeights | None = None,
 ) -> DataFrame:
-    """Effect of each (id, sequence, pos, wt, mut) row at both levels.
-
-    Wild types are encoded once however many variants they have.
-    """
-    rows = va.mutated(variants, seq).withColumn(
+    """Effect of each (id, sequence, pos, wt, mut) row at both levels."""
+    ok = fc.validation_reason(F.col(seq), *lengths, alphabet).isNull()
+    rows = va.mutated(variants.filter(ok), seq).withColumn(
         "variant", F.concat_ws(":", F.col("id").cast("string"), F.concat("wt", F.col("pos").cast("string"), "mut"))
     )
-    wild = variants.select(F.col("id"), F.col(seq).alias("sequence")).distinct()
-    mutants = rows.select(F.col("variant").alias("id"), F.col("mutated").alias("sequence"))
-    options = {"lengths": lengths, "alphabet": alphabet}
-    z = embed(wild, encoder, poolings=(pooling,), **options).select("id", F.col("vector").alias("z"))
-    m = embed(mutants, encoder, poolings=(pooling,), **options).select(F.col("id").alias("variant"), F.col("vector").alias("m"))
-    effect = va.pooled_effect(rows.join(m, "variant").join(z, "id"), "z", "m")
-
-    wild_residues = encode_residues(wild, encoder, **options)
-    mutant_residues = encode_residues(mutants, encoder, **options).withColumnRenamed("id", "variant").join(
-        rows.select("variant", "id"), "variant"
+    effect = va.pooled_effect(encode_changes(rows, encoder, seq, "mutated", pooling, weights), "z", "m")
+    near = F.slice(
+        "deltas", F.greatest(F.col("pos") - window, F.lit(1)),
+        F.least(F.col("pos") + window, F.size("deltas")) - F.greatest(F.col("pos") - window, F.lit(1)) + 1,
     )
-    deltas = va.residue_deltas(wild_residues, mutant_residues)
-    profile = va.delta_profile(deltas, rows.select("variant", "pos"), window=window)
-    return effect.join(profile, "variant").select(
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda x, d: x + d) / F.size(values)
+    return effect.select(
         "id", "variant", "pos", "wt", "mut",
         F.round("displacement", 5).alias("displacement"),
         F.round("relative_displacement", 5).alias("relative_displacement"),
-        F.round("cosine", 6).alias("cosine"), F.round("local_delta", 5).alias("local_delta"),
-        F.round("global_delta", 5).alias("global_delta"), "per_residue_delta", "top_dimensions",
+        F.round("cosine", 6).alias("cosine"), F.round(mean(near), 5).alias("local_delta"),
+        F.round(mean(F.col("deltas")), 5).alias("global_delta"),
+        F.transform("deltas", lambda d: F.round(d, 5)).alias("per_residue_delta"), "top_dimensions",
     )
 
 

@@ -19,7 +19,7 @@ from strandkit.operators.groups import group_statistics
 from strandkit.operators.knn import knn, mean_distance
 from strandkit.operators.lookup import pair_agreement
 from strandkit.operators.probe import metric_rows, run_probe
-from strandkit.operators.sampling import discordant, random_pairs, substituted_pairs
+from strandkit.operators.sampling import discordant, downsample, random_pairs, substituted_pairs
 from strandkit.operators.splits import audit_leakage, make_splits, split_summary
 from strandkit.operators.variants import variant_llr
 from strandkit.session import reliable_checkpoint
@@ -97,13 +97,13 @@ def pair_study(
 ) -> DataFrame:
     """(a, b, stratum, identity, cosine, same_family) of random and neighbour pairs."""
     random = reliable_checkpoint(random_pairs(corpus, ident, n_pairs // 2, seed))
-    from strandkit.operators.sampling import downsample
-
     seeds = downsample(store, n_pairs // 8, "id", seed)
     near = knn(seeds, store, 4).select(
         F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")
     ).distinct().join(random, ["a", "b"], "left_anti")
-    pairs = random.withColumn("stratum", F.lit("random")).unionByName(near.withColumn("stratum", F.lit("nn")))
+    pairs = reliable_checkpoint(
+        random.withColumn("stratum", F.lit("random")).unionByName(near.withColumn("stratum", F.lit("nn")))
+    )
     rows = lambda s: corpus.select(F.col(ident).alias(s), F.col(seq).alias(f"seq_{s}"), F.col(family).alias(f"f_{s}"))
     vecs = lambda s: store.select(F.col("id").alias(s), F.col("vector").alias(f"v_{s}"))
     wide = pairs.join(rows("a"), "a").join(rows("b"), "b").join(vecs("a"), "a").join(vecs("b"), "b").select(
@@ -118,11 +118,12 @@ def pair_study(
 def pair_study_summary(study: DataFrame) -> DataFrame:
     """Counts per stratum; the correlation uses the random stratum only."""
     high, low = discordant()
+    on_random = lambda c: F.when(F.col("stratum") == "random", F.col(c))
     return study.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.count_if(high).alias("low_identity_high_cosine"),
         F.count_if(low).alias("high_identity_low_cosine"),
-        F.when(F.col("stratum") == "random", F.corr("identity", "cosine")).alias("pearson_r"),
+        mt.correlation(on_random("identity"), on_random("cosine")).alias("pearson_r"),
     )
 
 
@@ -130,8 +131,6 @@ def pair_study_summary(study: DataFrame) -> DataFrame:
 
 def recall_study(store: DataFrame, k: int = 10, n_queries: int = 1000, seed: int = 42, regime: str = "stored") -> DataFrame:
     """Recall@k, seconds and queries per second of each search plan."""
-    from strandkit.operators.sampling import downsample
-
     spark = store.sparkSession
     queries = reliable_checkpoint(downsample(store, n_queries, "id", seed))
     n_q, n = queries.count(), store.count()
@@ -180,18 +179,15 @@ def compare_split_methods(
     for name, groups in fixed.items():
         splits = reliable_checkpoint(make_splits(groups, seed=seed))
         parts.append(metric_rows(group_statistics(groups, kind=None), name, "groups", "all"))
-        for row_name in C.SPLIT_NAMES:
-            part = split_summary(splits).filter(F.col("split") == row_name).drop("split")
-            parts.append(metric_rows(part, name, "split", row_name))
+        parts.append(metric_rows(split_summary(splits), name, "split", F.col("split")))
         placed = corpus.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).join(splits.select("id", "split"), "id")
         audit = audit_leakage(placed, "id", "seq", "split", audit_pairs, 4, seed, alphabet)
-        for stratum in ("cross", "train"):
-            parts.append(metric_rows(audit.filter(F.col("stratum") == stratum).drop("stratum"), name, "audit", stratum))
+        parts.append(metric_rows(audit, name, "audit", F.col("stratum")))
         labelled = store.join(labels, "id").join(splits.select("id", "split"), "id")
         for task, least in tasks.items():
             parts.append(metric_rows(run_probe(labelled, "vector", task, "split", least), name, "probe", task))
     names = list(fixed)
-    pairs = random_pairs(fixed[names[0]], "id", n_pairs, seed)
+    pairs = reliable_checkpoint(random_pairs(fixed[names[0]], "id", n_pairs, seed))
     agreement = mt.sampled_disagreement(pair_agreement(pairs, fixed[names[0]], fixed[names[1]]))
     parts.append(metric_rows(agreement, f"{names[0]}|{names[1]}", "disagreement", "pairs"))
     return _union(parts).withColumnRenamed("representation", "method")
