@@ -17,6 +17,11 @@ from strandkit.plans import search as se
 AA = C.AMINO_ACIDS
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    spark.sparkContext.addPyFile(__file__)  # encoders of this module run on workers
+
+
 class CodeEncoder:
     """Residue value = character code: displacements are easy to reason about."""
 
