@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandkit import constants as C
@@ -19,8 +20,12 @@ def windows(seq: Column, k: int, alphabet: str | None = None) -> Column:
 
 
 def kmer_frequencies(df: DataFrame, ident: str, seq: str, k: int = 3, alphabet: str | None = C.AMINO_ACIDS) -> DataFrame:
-    """Sparse (id, kmer, n, freq); freq divides by the number of kept windows."""
-    w = df.select(ident, windows(F.col(seq), k, alphabet).alias("w"))
+    """Sparse (id, kmer, n, freq); freq divides by the number of kept windows.
+
+    The texts are shuffled once by id; the counts of an id then need no second
+    shuffle of the far larger list of windows.
+    """
+    w = df.select(ident, seq).repartition(ident).select(ident, windows(F.col(seq), k, alphabet).alias("w"))
     long = w.select(ident, F.size("w").alias("total"), F.explode("w").alias("kmer"))
     return long.groupBy(ident, "kmer").agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("total")).alias("freq")
@@ -85,18 +90,17 @@ def similar_sequences(
     )
     members = rows.select("side", "id", "sig").join(sets.select("sig", "key"), "sig").select("side", "id", "key")
 
-    elements = sets.select("key", "size", F.explode("kset").alias("e"))
+    elements = sets.select("key", "size", "low", "high", F.explode("kset").alias("e"))
     frequency = elements.groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # An element of one set only cannot match: such elements fill the prefix first.
-    ordered = elements.join(frequency, "e").groupBy("key").agg(
-        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")
-    ).join(sets.select("key", "low", "high"), "key")
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    kept = F.greatest(length - (F.col("size") - F.size("es")), F.lit(0))
+    # The prefix is all but the most frequent ceil(t n) - 1 elements.  Elements of
+    # one set only are always in it but match nothing, so they are left out.
+    rest = (F.ceil(F.col("size") * threshold - 1e-9) - 1).cast("int")
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("df"), F.desc("e")))
     # Both sides of the join below read the prefixes.
-    prefixes = reliable_checkpoint(ordered.withColumn("rest", F.col("size") - length).select(
-        "key", "size", "rest", "low", "high", F.explode(F.slice("es", F.lit(1), kept)["e"]).alias("e"),
-    ))
+    prefixes = reliable_checkpoint(
+        elements.join(frequency, "e").withColumn("rest", rest).withColumn("place", place)
+        .filter("place > rest").select("key", "size", "rest", "low", "high", "e")
+    )
     x = prefixes.filter("low = 0").select("e", F.col("key").alias("ka"), F.col("size").alias("na"), F.col("rest").alias("ra"))
     y = prefixes.select("e", F.col("key").alias("kb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), "high")
     apart = F.col("ka") < F.col("kb") if right is None else (F.col("ka") != F.col("kb")) & (F.col("high") == 1)

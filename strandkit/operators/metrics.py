@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.stats import spearman_p_value
-from strandkit.operators.ranking import cumulative_before, slice_bounds
+from strandkit.operators.ranking import cumulative_before, ranks_from, slice_bounds
 
 
 def one_row(*tables: DataFrame) -> DataFrame:
@@ -131,8 +131,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     rows = df.dropna(subset=[x, y])
     cells = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
     bounds = dict(zip((x, y), slice_bounds(rows, [x, y])))
-    weighted = lambda col, rank: _weighted_ranks(cells, by, col, rank, bounds[col])
-    joined = cells.join(weighted(x, "rx"), [*by, x]).join(weighted(y, "ry"), [*by, y])
+    ranks = lambda col, rank: ranks_from(rows, by, col, rank, bounds[col]).drop("n")
+    joined = cells.join(ranks(x, "rx"), [*by, x]).join(ranks(y, "ry"), [*by, y])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     # ranks of n rows always average (n + 1) / 2
     sums = joined.groupBy(*by).agg(
@@ -147,12 +147,6 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     return out.withColumn("p_value", spearman_p_value(F.col("rho"), F.col("n")))
 
 
-def _weighted_ranks(cells: DataFrame, by: list[str], value: str, rank: str, bounds: list[float]) -> DataFrame:
-    counts = cells.groupBy(*by, value).agg(F.sum("w").alias("n"))
-    ranked = cumulative_before(counts, by, value, ["n"], bounds)
-    return ranked.select(*by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(rank))
-
-
 def stability(pairs: DataFrame, cosine: str = "cosine", by: list[str] = ()) -> DataFrame:
     """Count, mean, population deviation, 5 % quantile and minimum of cosines."""
     return pairs.groupBy(*by).agg(

@@ -120,25 +120,32 @@ def slice_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
     marks = [i / width for i in range(1, width)]
     if not marks:
         return [[] for _ in values]
-    row = df.agg(*[F.percentile_approx(F.col(v).cast("double"), marks, 10000) for v in values]).first()
+    row = df.agg(*[F.percentile_approx(F.col(v).cast("double"), marks, 20 * width) for v in values]).first()
     return [sorted(set(b or [])) for b in row]
 
 
 def cumulative_before(
-    df: DataFrame, by: list[str], value: str, weights: list[str], bounds: list[float] | None = None
+    df: DataFrame, by: list[str], value: str, weights: list[str], bounds: list[float] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``<w>_before``: the sum of each weight over smaller values in the group,
-    and ``<w>_total``.  ``df`` must hold each (group, value) once."""
+    and ``<w>_total``.  ``df`` must hold each (group, value) once.  ``source`` may
+    give the rows behind ``df``: slice sums then need no shuffle of all values."""
     splits = [float("-inf"), *(slice_bounds(df, [value])[0] if bounds is None else bounds), float("inf")]
-    as_double = df.withColumn("__v", F.col(value).cast("double"))
-    sliced = (
-        Bucketizer(splits=splits, inputCol="__v", outputCol="__slice").transform(as_double)
-        if len(splits) > 2 else as_double.withColumn("__slice", F.lit(0.0))
-    )
+
+    def cut(table: DataFrame) -> DataFrame:
+        as_double = table.withColumn("__v", F.col(value).cast("double"))
+        if len(splits) <= 2:
+            return as_double.withColumn("__slice", F.lit(0))
+        placed = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(as_double)
+        return placed.withColumn("__slice", F.col("__b").cast("int")).drop("__b")
+
+    sliced = cut(df)
     inner = W.partitionBy(*by, "__slice").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = outer.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = sliced.groupBy(*by, "__slice").agg(*[F.sum(w).alias(f"__s_{w}") for w in weights])
+    behind = sliced if source is None else cut(source)
+    sums = behind.groupBy(*by, "__slice").agg(*[F.sum(w).alias(f"__s_{w}") for w in weights])
     offsets = sums.select(
         *by, "__slice",
         *[F.coalesce(F.sum(f"__s_{w}").over(before), F.lit(0)).alias(f"__o_{w}") for w in weights],
@@ -155,6 +162,11 @@ def cumulative_before(
 
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
     """Table (by, value, rank, n): the mean 1-based rank of each distinct value."""
+    return ranks_from(df, by, value, rank, None)
+
+
+def ranks_from(df: DataFrame, by: list[str], value: str, rank: str, bounds: list[float] | None) -> DataFrame:
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = cumulative_before(counts, by, value, ["n"])
+    rows = df.select(*by, value, F.lit(1).alias("n"))
+    ranked = cumulative_before(counts, by, value, ["n"], bounds, rows)
     return ranked.select(*by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias(rank))
