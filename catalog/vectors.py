@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
@@ -13,6 +12,7 @@ from strandkit.operators.ann import cell_knn, quantized_knn, signature_knn
 from strandkit.operators.cluster import outlier_scores
 from strandkit.operators.lookup import hit_summaries
 from strandkit.operators.pooling import region_pool
+from strandkit.operators.ranking import number_in_order
 from strandkit.operators.sampling import stratified_holdout
 
 E_SQL = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -33,8 +33,8 @@ def store(spark, sf):
 
 def residues(e):
     """The vectors of a label, in id order, as the residue rows of one sequence."""
-    pos = F.row_number().over(W.partitionBy("label").orderBy("id"))
-    return e.select(F.col("label").cast("long").alias("id"), pos.alias("pos"), "vector")
+    numbered = number_in_order(e.select("label", "id", "vector"), ["label"], ["id"], "pos")
+    return numbered.select(F.col("label").cast("long").alias("id"), F.col("pos").cast("int").alias("pos"), "vector")
 
 
 @query("vec_unit_and_norm", """

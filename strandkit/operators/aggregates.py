@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandkit.operators.metrics import one_row
-from strandkit.operators.ranking import top_per_group
+from strandkit.operators.ranking import group_quantiles, top_per_group
 
 
 def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
@@ -75,7 +75,11 @@ def coverage(features: DataFrame, corpus: DataFrame, ident: str, n_items: Column
 
 
 def cluster_positions(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
-    return df.groupBy(cluster).agg(F.median(x).alias("x"), F.median(y).alias("y"), F.count(F.lit(1)).alias("n"))
+    """Median coordinates and size of each cluster."""
+    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(group_quantiles(df, [cluster], x, {"x": 0.5}), cluster).join(
+        group_quantiles(df, [cluster], y, {"y": 0.5}), cluster
+    ).select(cluster, "x", "y", "n")
 
 
 def noise_fraction(df: DataFrame, cluster: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit.functions.stats import spearman_p_value
-from strandkit.operators.ranking import cumulative_before, ranks_from, slice_bounds
+from strandkit.operators.ranking import cumulative_before, group_quantiles, ranks_from, slice_bounds
 
 
 def one_row(*tables: DataFrame) -> DataFrame:
@@ -149,24 +149,23 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
 
 def stability(pairs: DataFrame, cosine: str = "cosine", by: list[str] = ()) -> DataFrame:
     """Count, mean, population deviation, 5 % quantile and minimum of cosines."""
-    return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.avg(cosine).alias("cosine_mean"),
-        F.stddev_pop(cosine).alias("cosine_std"),
-        F.percentile(cosine, 0.05).alias("cosine_p05"),
-        F.min(cosine).alias("cosine_min"),
+    by = list(by)
+    basic = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg(cosine).alias("cosine_mean"),
+        F.stddev_pop(cosine).alias("cosine_std"), F.min(cosine).alias("cosine_min"),
     )
+    low = group_quantiles(pairs, by, cosine, {"cosine_p05": 0.05})
+    both = basic.join(low, by) if by else one_row(basic, low)
+    return both.select(*by, "n_pairs", "cosine_mean", "cosine_std", "cosine_p05", "cosine_min")
 
 
 def pair_distribution(pairs: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, 95 %, 99 % quantile and maximum per stratum."""
-    return pairs.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.avg(value).alias("mean"),
-        F.percentile(value, 0.95).alias("p95"),
-        F.percentile(value, 0.99).alias("p99"),
-        F.max(value).alias("max"),
+    basic = pairs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg(value).alias("mean"), F.max(value).alias("max")
     )
+    high = group_quantiles(pairs, [by], value, {"p95": 0.95, "p99": 0.99})
+    return basic.join(high, by).select(by, "n_pairs", "mean", "p95", "p99", "max")
 
 
 def eligible_queries(df: DataFrame, label: str, least: int = 2) -> DataFrame:

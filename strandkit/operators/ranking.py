@@ -170,3 +170,79 @@ def ranks_from(df: DataFrame, by: list[str], value: str, rank: str, bounds: list
     rows = df.select(*by, value, F.lit(1).alias("n"))
     ranked = cumulative_before(counts, by, value, ["n"], bounds, rows)
     return ranked.select(*by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias(rank))
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, one column per entry.
+
+    The built-in exact percentile holds all values of a group in one task; here
+    cumulative counts of distinct values locate the two neighbouring ranks.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    counts = rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulative_before(counts, by, "__x", ["n"], None, rows.withColumn("n", F.lit(1)))
+    first, last = F.col("n_before"), F.col("n_before") + F.col("n")
+    picks = []
+    for name, p in quantiles.items():
+        place = F.lit(float(p)) * (F.col("n_total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        holds = lambda r: (first <= r) & (r < last)
+        part = place - low
+        picks.append(F.sum(
+            F.when(holds(low), F.col("__x") * (1 - part)).otherwise(0.0)
+            + F.when(holds(high), F.col("__x") * part).otherwise(0.0)
+        ).alias(name))
+    return ranked.groupBy(*by).agg(*picks)
+
+
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A number that never falls when the column grows; slices need no more."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "timestamp_ntz":
+        c = F.col(column)
+        days = F.unix_date(F.to_date(c)).cast("double")
+        return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    return F.col(column).cast("double")
+
+
+def number_in_order(
+    df: DataFrame, by: list[str], order: list[str], number: str = "row_number", previous: dict[str, str] | None = None
+) -> DataFrame:
+    """1-based row number per group in the given order, and values of the previous row.
+
+    The first order column (a number or a time) cuts each group into slices.
+    ``previous`` maps new columns to the columns they are read from; the last row
+    of a slice is handed on through a table with one row per group and slice.
+    """
+    previous = previous or {}
+    keyed = df.withColumn("__o", _as_number(df, order[0]))
+    bounds = slice_bounds(keyed, ["__o"])[0]
+    splits = [float("-inf"), *bounds, float("inf")]
+    if bounds:
+        keyed = Bucketizer(splits=splits, inputCol="__o", outputCol="__b").transform(keyed)
+        keyed = keyed.withColumn("__slice", F.col("__b").cast("int")).drop("__b")
+    else:
+        keyed = keyed.withColumn("__slice", F.lit(0))
+    key = F.struct(*order)
+    slices = keyed.groupBy(*by, "__slice").agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.max_by(source, key).alias(f"__last_{out}") for out, source in previous.items()],
+    )
+    across = W.partitionBy(*by).orderBy("__slice")
+    starts = slices.select(
+        *by, "__slice",
+        F.coalesce(F.sum("__n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        *[F.lag(f"__last_{out}").over(across).alias(f"__prev_{out}") for out in previous],
+    )
+    inner = W.partitionBy(*by, "__slice").orderBy(*order)
+    placed = keyed.select(
+        "*", F.row_number().over(inner).alias("__in"),
+        *[F.lag(source).over(inner).alias(f"__lag_{out}") for out, source in previous.items()],
+    )
+    joined = _null_safe_join(placed, starts, [*by, "__slice"])
+    return joined.select(
+        *df.columns, (F.col("__offset") + F.col("__in")).alias(number),
+        *[F.when(F.col("__in") > 1, F.col(f"__lag_{out}")).otherwise(F.col(f"__prev_{out}")).alias(out) for out in previous],
+    )

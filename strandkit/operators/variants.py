@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandkit import constants as C
 from strandkit.functions import columns as fc
 from strandkit.functions import vectors as fv
+from strandkit.operators.ranking import number_in_order
 
 
 # -- expansion ----------------------------------------------------------------
@@ -190,12 +191,13 @@ def chain_steps(chains: DataFrame, ident: str) -> DataFrame:
 def trajectory_steps(points: DataFrame, by: str, order: list[str], vec: str) -> DataFrame:
     """Displacements of consecutive points of each path, in path order.
 
-    Distances to the first point come from a join with one row per path; only the
-    previous vector needs the ordered window.
+    Distances to the first point come from a join with one row per path.  A path of
+    any length is cut into slices of its order, so no task sorts a whole path.
     """
-    w = W.partitionBy(by).orderBy(*order)
     first = points.groupBy(by).agg(F.min_by(vec, F.struct(*order)).alias("__first"))
-    moved = points.withColumn("__prev", F.lag(vec).over(w)).withColumn("step", F.row_number().over(w) - 1)
+    moved = number_in_order(points, [by], order, "__row", {"__prev": vec}).withColumn(
+        "step", (F.col("__row") - 1).cast("int")
+    )
     return moved.join(first, by).filter("step > 0").select(
         by, "step", *order,
         fv.distance(F.col(vec), F.col("__prev")).alias("step_displacement"),
