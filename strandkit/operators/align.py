@@ -41,55 +41,58 @@ class Aligner:
         ib = np.searchsorted(sb, list(b))
         return small[np.ix_(ia, ib)]
 
-    def tables(self, a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best scores that end in a match, a gap in b, a gap in a."""
+    def fill(self, a: str, b: str) -> tuple[np.ndarray, list[int]]:
+        """Source codes of every cell and the three end scores.
+
+        States: 0 match, 1 gap in b, 2 gap in a.  One byte per cell holds where
+        each state came from, two bits per state; scores keep one row only.
+        """
         n, m = len(a), len(b)
         pair = self._pair_scores(a, b)
         o, e = self.gap_open, self.gap_extend
-        M = np.full((n + 1, m + 1), LOW, dtype=np.int64)
-        X = np.full((n + 1, m + 1), LOW, dtype=np.int64)
-        Y = np.full((n + 1, m + 1), LOW, dtype=np.int64)
-        M[0, 0] = 0
-        X[1:, 0] = o + e * np.arange(n)
-        Y[0, 1:] = o + e * np.arange(m)
         steps = e * np.arange(m + 1)
+        M, X = np.full(m + 1, LOW, dtype=np.int64), np.full(m + 1, LOW, dtype=np.int64)
+        M[0] = 0
+        Y = np.r_[LOW, o + steps[:-1]]
+        codes = np.zeros((n + 1, m + 1), dtype=np.uint8)
+        codes[0, 2:] = 2 << 4
         for i in range(1, n + 1):
-            best = np.maximum(np.maximum(M[i - 1], X[i - 1]), Y[i - 1])
-            M[i, 1:] = best[:-1] + pair[i - 1]
-            X[i, 1:] = np.maximum(np.maximum(M[i - 1, 1:], Y[i - 1, 1:]) + o, X[i - 1, 1:] + e)
+            source = np.where((M >= X) & (M >= Y), 0, np.where(X >= Y, 1, 2))
+            best = np.maximum(np.maximum(M, X), Y)
+            opened, longer = np.maximum(M, Y) + o, X + e
+            from_x = np.where(opened >= longer, np.where(M >= Y, 0, 2), 1)
+            M = np.r_[LOW, best[:-1] + pair[i - 1]]
+            X = np.maximum(opened, longer)
             # a run of gaps along the row is a running maximum after removing its slope
-            source = np.maximum(M[i], X[i]) + o - e - steps
-            Y[i, 1:] = np.maximum.accumulate(source)[:-1] + steps[1:]
-        return M, X, Y
+            start = np.maximum(M, X) + o
+            Y = np.r_[LOW, np.maximum.accumulate(start - e - steps)[:-1] + steps[1:]]
+            from_y = np.where(start[:-1] == Y[1:], np.where(M[:-1] >= X[:-1], 0, 1), 2)
+            codes[i] = from_x << 2
+            codes[i, 1:] |= (source[:-1] | (from_y << 4)).astype(np.uint8)
+        return codes, [int(M[-1]), int(X[-1]), int(Y[-1])]
+
+    def score(self, a: str, b: str) -> int:
+        return max(self.fill(a, b)[1])
 
     def identity(self, a: str, b: str) -> float:
         """Matches over alignment length of one best alignment."""
         if not a or not b:
             return 0.0
-        M, X, Y = self.tables(a, b)
+        codes, ends = self.fill(a, b)
         i, j = len(a), len(b)
-        state = int(np.argmax([M[i, j], X[i, j], Y[i, j]]))
+        state = int(np.argmax(ends))
         matches = length = 0
         while i > 0 or j > 0:
             length += 1
+            code = (int(codes[i, j]) >> (2 * state)) & 3
             if state == 0:
                 matches += a[i - 1] == b[j - 1]
                 i, j = i - 1, j - 1
-                state = int(np.argmax([M[i, j], X[i, j], Y[i, j]]))
             elif state == 1:
-                here = X[i, j]
                 i -= 1
-                if here != X[i, j] + self.gap_extend:
-                    state = 0 if M[i, j] >= Y[i, j] else 2
-                elif max(M[i, j], Y[i, j]) + self.gap_open == here:
-                    state = 0 if M[i, j] >= Y[i, j] else 2
             else:
-                here = Y[i, j]
                 j -= 1
-                if here != Y[i, j] + self.gap_extend:
-                    state = 0 if M[i, j] >= X[i, j] else 1
-                elif max(M[i, j], X[i, j]) + self.gap_open == here:
-                    state = 0 if M[i, j] >= X[i, j] else 1
+            state = code
         return matches / length
 
 

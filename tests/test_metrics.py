@@ -112,3 +112,19 @@ def test_disagreement_counts_pairs(spark):
             x, y = rows[i][0] == rows[j][0], rows[i][1] == rows[j][1]
             both, only_a, only_b = both + (x and y), only_a + (x and not y), only_b + (y and not x)
     assert (got["both_join"], got["only_a"], got["only_b"]) == (both, only_a, only_b)
+
+
+def test_quantiles_and_order_in_a_hot_group(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=900).round(2)
+    df = spark.createDataFrame([(i, "hot" if i < 800 else "cold", float(v)) for i, v in enumerate(x)], "id long, g string, x double")
+    got = {r["g"]: r for r in rk.group_quantiles(df, ["g"], "x", {"lo": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+    for g, part in (("hot", x[:800]), ("cold", x[800:])):
+        assert [got[g][n] for n in ("lo", "mid", "top")] == pytest.approx([np.quantile(part, p) for p in (0.05, 0.5, 1.0)])
+    rows = rk.number_in_order(df.repartition(5), ["g"], ["x", "id"], "n", {"before": "id"}).collect()
+    for g in ("hot", "cold"):
+        mine = sorted((r for r in rows if r["g"] == g), key=lambda r: r["n"])
+        assert [r["n"] for r in mine] == list(range(1, len(mine) + 1))
+        order = sorted((r["x"], r["id"]) for r in mine)
+        assert [r["id"] for r in mine] == [i for _, i in order]
+        assert [r["before"] for r in mine] == [None, *[i for _, i in order[:-1]]]
