@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit import constants as C
@@ -42,14 +42,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(lows.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        # the edge set is compared by count and hash sum, observed while it is written
-        seen = Observation()
-        current = reliable_checkpoint(small.observe(
-            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ))
-        if seen.get == state:
+        # the written edge set is compared by count and hash sum
+        current = reliable_checkpoint(small)
+        seen = current.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        ).first()
+        if seen == state:
             break
-        state = seen.get
+        state = seen
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(current, nodes["node"] == current["u"], "left").select(
