@@ -6,7 +6,9 @@ by rejections per second among the documents that the earlier rules leave.  The
 main pass then stops at the first rule that rejects.  The order changes the cost
 and never the verdict: a document is kept if no rule rejects it.
 
-The sample holds at most ``SAMPLE_ROWS`` documents; it decides the order alone.
+The sample is the first ``SAMPLE_ROWS`` documents of each of ``SAMPLE_PARTITIONS``
+partitions spread over the table; the other partitions are not read.  It decides the
+order alone.
 A null text counts as empty, and an empty text is rejected for its length.  An
 empty table gives an empty result; repeated rows get equal verdicts; columns
 other than the text and the id are passed through untouched.
@@ -20,15 +22,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandkit.llm.common import SPACES, column_of, prepare, texts
 
-SAMPLE_ROWS = 2000
-SAMPLE_SHARE = 0.2
-SAMPLE_SEED = 42
+SAMPLE_PARTITIONS = 16
+SAMPLE_ROWS = 125
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.1
@@ -154,10 +156,15 @@ def estimate(docs: DataFrame, text: str = "text", rules: dict[str, Callable[[Mea
     At most two to the number of rules rows, whatever the table."""
     rules = RULES if rules is None else rules
     tests = list(rules.values())
+    slim = docs.select(F.col(text).alias("text"))
+    stride = max(1, slim.rdd.getNumPartitions() // SAMPLE_PARTITIONS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        left = 0 if TaskContext.get().partitionId() % stride else SAMPLE_ROWS
+        while left > 0 and (batch := next(batches, None)) is not None:
             fired, spent = [], []
+            batch = batch.slice(0, left)
+            left -= batch.num_rows
             for value in texts(batch):
                 bits, times = 0, []
                 for i, test in enumerate(tests):
@@ -170,8 +177,7 @@ def estimate(docs: DataFrame, text: str = "text", rules: dict[str, Callable[[Mea
                 [pa.array(fired, pa.int64()), pa.array(spent, pa.list_(pa.float64()))], names=["fired", "spent"]
             )
 
-    sample = docs.select(F.col(text).alias("text")).sample(SAMPLE_SHARE, SAMPLE_SEED).limit(SAMPLE_ROWS)
-    probed = sample.mapInArrow(probe, "fired long, spent array<double>")
+    probed = slim.mapInArrow(probe, "fired long, spent array<double>")
     times = [F.sum(F.col("spent")[i]).alias(name) for i, name in enumerate(rules)]
     return probed.groupBy("fired").agg(F.count(F.lit(1)).alias("n"), F.array(*times).alias("seconds"))
 
