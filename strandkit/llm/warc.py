@@ -208,7 +208,9 @@ def read(index: DataFrame) -> DataFrame:
     and digest come from its headers."""
     prepare(index.sparkSession)
     kind = index.schema["page_id"].dataType
-    placed = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # index rows are small and stand for large reads: a fixed width, so that they are not put together by size
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = index.repartition(width, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, source, table, frame = None, None, [], b""
