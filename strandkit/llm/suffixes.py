@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,9 @@ PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 CHUNK_BYTES = 8 << 20
 # Corpus bytes for each bucket of a sort.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
+# Step 2 sorts its buckets in so many passes; the shuffle files of a pass go before the next.
+PASSES = 2
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)]
 
 
@@ -108,6 +111,42 @@ class Chunk:
             whole = (whole ^ part[192 : 192 + n]) * _MIX[0]
             yield low, whole ^ (whole >> np.uint64(32))
 
+    def samples(self, length: int) -> np.ndarray:
+        """Cover positions, counted from the start of each document, with enough bytes after them."""
+        member = np.zeros(PERIOD, bool)
+        member[list(COVER)] = True
+        # some documents at a time, about a megabyte, to keep the arrays small
+        block = self.starts >> 20
+        cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)], len(block))
+        found = [np.empty(0, np.int64)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            lengths, base = self.lengths[i:j], self.starts[i]
+            place = np.arange(int(lengths.sum())) - np.repeat(self.starts[i:j] - base, lengths)
+            found.append(base + np.flatnonzero(member[place % PERIOD] & (place + length <= np.repeat(lengths, lengths))))
+        return np.concatenate(found)
+
+    def all_hashes(self, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """(first position, hashes) of the LENGTH bytes from every position, block by block.
+
+        Hashes of 64 and 128 bytes come from those of their halves."""
+        last = self.size - LENGTH + 1
+        for low in range(0, max(last, 0), block):
+            n = min(block, last - low)
+            part = self.words[low : low + n + LENGTH - 8]
+            h, width, kept = part, 8, {}
+            while width < 128:
+                h = (h[:-width] * _MIX[0]) ^ (h[width:] + _MIX[1])
+                h *= _MIX[2]
+                h ^= h >> np.uint64(29)
+                width *= 2
+                if width == 64:
+                    kept[64] = h
+            whole = (h[64 : 64 + n] * _MIX[0]) ^ (kept[64][:n] + _MIX[1])
+            whole *= _MIX[2]
+            whole ^= whole >> np.uint64(31)
+            whole = (whole ^ part[192 : 192 + n]) * _MIX[0]
+            yield low, whole ^ (whole >> np.uint64(32))
+
     def samples(self, length: int) -> np.ndarray:
         """Cover positions, counted from the start of each document, with enough bytes after them."""
         member = np.zeros(PERIOD, bool)
@@ -179,10 +218,14 @@ class Keys:
     cuts: np.ndarray
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * _MIX[2]
+    return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
 def _deal(hashes: np.ndarray, buckets: int, dtype: str) -> Keys:
     """Sorts by (bucket, key); the bucket comes from other bits than a short key."""
-    mixed = (hashes ^ (hashes >> np.uint64(33))) * _MIX[2]
-    bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = _bucket(hashes, buckets)
     short = hashes.astype(dtype)
     order = np.lexsort((short, bucket))
     b, k = bucket[order], short[order]
@@ -195,13 +238,17 @@ def _deal(hashes: np.ndarray, buckets: int, dtype: str) -> Keys:
     return Keys(k[new], counts > 1, back, cuts)
 
 
-def _ask(rows: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets: int, dtype: str) -> DataFrame:
+def _ask(rows: DataFrame, keys_of: Callable[[dict], np.ndarray], buckets: int, dtype: str, turn: int = 0, turns: int = 1) -> DataFrame:
     """Table (chunk, answers) with one bit for each distinct key of a chunk: whether the
-    string occurs more than once in the corpus.  ``keys_of`` gives the hashes of a row."""
+    string occurs more than once in the corpus.  ``keys_of`` gives the hashes of a row.
+    With several turns, this one sorts every ``turns``-th bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
-            dealt = _deal(keys_of(row), buckets, dtype)
+            hashes = keys_of(row)
+            if turns > 1:
+                hashes = hashes[_bucket(hashes, buckets) % turns == turn]
+            dealt = _deal(hashes, buckets, dtype)
             spans = [(j, a, b) for j, (a, b) in enumerate(zip(dealt.cuts[:-1], dealt.cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([j for j, _, _ in spans], pa.int32()), pa.array([row["chunk"]] * len(spans), pa.int64()),
@@ -331,8 +378,11 @@ def repeated_bytes(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
             hashes.append(block[place[inside]])
         return chunk, np.concatenate(places), np.concatenate(hashes)
 
-    second = reliable_checkpoint(_ask(tied, lambda row: candidates(row)[2], buckets, "<u8"))
-    release(spark)
+    parts = []
+    for turn in range(PASSES):
+        parts.append(reliable_checkpoint(_ask(tied, lambda row: candidates(row)[2], buckets, "<u8", turn, PASSES)))
+        release(spark)
+    second = reduce(DataFrame.unionByName, parts).groupBy("chunk").agg(F.flatten(F.collect_list("answers")).alias("answers"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
