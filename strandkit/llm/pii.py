@@ -209,7 +209,9 @@ def candidates(text: Column) -> Column:
     def free(span: Column, base: Column) -> Column:
         return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
-    both = F.concat(strict, F.filter(loose, lambda s: free(s, strict)))
+    # bound by a one-element array, so that the spans are found once and not for every element
+    bound = F.array(F.struct(strict.alias("strict"), loose.alias("loose")))
+    both = F.flatten(F.transform(bound, lambda b: F.concat(b["strict"], F.filter(b["loose"], lambda s: free(s, b["strict"])))))
     return F.transform(
         F.array_sort(both),
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), _votes(text, s).alias("votes")),

@@ -137,9 +137,13 @@ def with_next(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     place = F.col("doc_id").cast("double")  # never falls when the id grows
     row = slim.agg(F.percentile_approx(place, [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges).alias("cuts")).first()
     splits = [float("-inf"), *sorted(set(row["cuts"] or [])), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="__place", outputCol="__range", handleInvalid="keep")
     top = len(splits) - 2
-    placed = cut.transform(slim.withColumn("__place", place)).select(
+    dealt = slim.withColumn("__place", place)
+    if top:
+        dealt = Bucketizer(splits=splits, inputCol="__place", outputCol="__range", handleInvalid="keep").transform(dealt)
+    else:
+        dealt = dealt.withColumn("__range", F.lit(0))
+    placed = dealt.select(
         F.when(F.col("doc_id").isNull(), F.lit(top)).otherwise(F.lit(top) - F.col("__range")).cast("int").alias("part"), "doc_id", "text"
     )
     # one row per range: its first id, and the range that it also ends; the first document follows the last
