@@ -5,9 +5,9 @@ The fingerprint has one bit for each of 64 places: set if set in over half of th
 they differ in at most ``RADIUS`` places.
 
 Links come from ``2^(r+1) - 1`` bit masks.  Every place gets a random vector of
-r+1 bits, and mask v keeps the places whose vector has an even inner product with
-v.  At most r places span less than the whole space, so some v is orthogonal to
-all of them and its mask hides every difference: each pair inside the radius
+r+1 bits, and mask v keeps the places whose vector has an odd inner product with v.
+At most r places span less than the whole space, so some v is orthogonal to all of
+them and its mask hides every difference: each pair inside the radius
 shares the masked value in some table, with certainty.
 
 Copies collapse to one fingerprint before any search.  A bucket is never expanded
@@ -81,7 +81,7 @@ def covering_masks(radius: int = RADIUS, seed: int = MASK_SEED) -> list[int]:
     """One 64-bit mask for each non-zero vector of radius + 1 bits."""
     rng = np.random.default_rng(seed)
     vectors = rng.integers(1, 1 << (radius + 1), 64)
-    return [sum(1 << place for place in range(64) if bin(int(vectors[place]) & v).count("1") % 2 == 0) for v in range(1, 1 << (radius + 1))]
+    return [sum(1 << place for place in range(64) if bin(int(vectors[place]) & v).count("1") % 2) for v in range(1, 1 << (radius + 1))]
 
 
 def _signed(x: int) -> int:
