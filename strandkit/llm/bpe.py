@@ -386,11 +386,12 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", path: str |
     """All columns but the ids, and the text that the ids stand for."""
     prepare(encoded.sparkSession)
     rest = encoded.drop(ids)
+    names = rest.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             decoded = [vocab.decode(np.array(i.as_py() or [], np.uint32)) for i in column_of(batch, ids)]
-            yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in rest.columns], pa.array(decoded, pa.string())], names=[*rest.columns, out])
+            yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in names], pa.array(decoded, pa.string())], names=[*names, out])
 
     return encoded.mapInArrow(rows, T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())]))
