@@ -82,10 +82,12 @@ def accuracy_and_macro_f1(df: DataFrame, truth: str, predicted: str, by: list[st
 def auroc(df: DataFrame, positive: Column, score: str, by: list[str] = ()) -> DataFrame:
     """Mann-Whitney AUROC per group; groups without both classes are absent.
 
-    Rows collapse to distinct scores first, so heavy ties cost nothing.
+    Rows without a label or without a score (null or NaN) do not count.  Rows
+    collapse to distinct scores first, so heavy ties cost nothing.
     """
     by = list(by)
-    values = df.groupBy(*by, score).agg(
+    known = df.filter(positive.isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    values = known.groupBy(*by, score).agg(
         F.sum(F.when(positive, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(positive, 0).otherwise(1)).alias("neg"),
     )

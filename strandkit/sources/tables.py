@@ -98,7 +98,7 @@ def read_splits(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 def write_report(df: DataFrame, path: str) -> None:
     """One CSV file: report tables hold one row per representation and task."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_profiles(profiles: DataFrame, path: str, ident: str = "accession", buckets: int = 256) -> None:

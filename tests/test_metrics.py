@@ -128,3 +128,10 @@ def test_quantiles_and_order_in_a_hot_group(spark):
         order = sorted((r["x"], r["id"]) for r in mine)
         assert [r["id"] for r in mine] == [i for _, i in order]
         assert [r["before"] for r in mine] == [None, *[i for _, i in order[:-1]]]
+
+
+def test_auroc_skips_missing_labels_and_scores(spark):
+    rows = [(1, 0.9), (0, 0.1), (None, 0.95), (1, 0.8), (0, 0.2), (0, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "label int, score double")
+    row = mt.auroc(df, F.col("label") == 1, "score").first()
+    assert (row["n_pos"], row["n_neg"], row["auroc"]) == (2, 2, 1.0)
