@@ -8,7 +8,7 @@ from catalog.base import query, table
 from strandkit.operators import sampling as sa
 from strandkit.operators.metrics import eligible_queries
 
-FRAC = "((('0x' || substr(md5('42|' || {k}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+FRAC = "((('0x' || substr(md5('42|' || {k}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0)"
 
 
 def docs(spark, sf):
@@ -81,8 +81,8 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source HAVING co
 c AS (SELECT source, n, row_number() OVER (ORDER BY {FRAC.format(k='source')}, source) AS c, count(*) OVER () AS k FROM n),
 m AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents WHERE source IN (SELECT source FROM n)),
 b AS (SELECT b.range AS batch, i.range AS i, (SELECT count(*) FROM n) AS k FROM range(20) b, range(8) i),
-d AS (SELECT batch, c.source, c.n FROM b JOIN c ON c.c = (('0x' || substr(md5('42|' || batch), 1, 8))::BIGINT % b.k + i) % b.k + 1 WHERE i < b.k),
-x AS (SELECT batch, source, ((('0x' || substr(md5('43|' || batch || '|' || source), 1, 8))::BIGINT % n) + j.range) % n + 1 AS r FROM d, range(4) j WHERE j.range < n)
+d AS (SELECT batch, c.source, c.n FROM b JOIN c ON c.c = (('0x' || substr(md5('42|' || batch), 1, 15))::BIGINT % b.k + i) % b.k + 1 WHERE i < b.k),
+x AS (SELECT batch, source, ((('0x' || substr(md5('43|' || batch || '|' || source), 1, 15))::BIGINT % n) + j.range) % n + 1 AS r FROM d, range(4) j WHERE j.range < n)
 SELECT batch, x.source, m.doc_id FROM x JOIN m ON m.source = x.source AND m.r = x.r""")
 def sample_batches(spark, sf):
     return sa.balanced_batches(docs(spark, sf), "source", "doc_id", 20)
@@ -90,8 +90,8 @@ def sample_batches(spark, sf):
 
 @query("sample_random_pairs", """
 WITH n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS r, count(*) OVER () AS n FROM embeddings),
-d AS (SELECT range AS d, ('0x' || substr(md5('42|' || range || '|a'), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) + 1 AS i,
-  ('0x' || substr(md5('42|' || range || '|b'), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) + 1 AS j FROM range(2000)),
+d AS (SELECT range AS d, ('0x' || substr(md5('42|' || range || '|a'), 1, 15))::BIGINT % (SELECT count(*) FROM embeddings) + 1 AS i,
+  ('0x' || substr(md5('42|' || range || '|b'), 1, 15))::BIGINT % (SELECT count(*) FROM embeddings) + 1 AS j FROM range(2000)),
 p AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM d WHERE i <> j GROUP BY ALL ORDER BY min(d) LIMIT 1000)
 SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p JOIN n x ON x.r = p.i JOIN n y ON y.r = p.j""")
 def sample_random_pairs(spark, sf):
@@ -114,8 +114,8 @@ s AS (SELECT doc_id AS id, {SPLIT_SQL} AS split FROM documents),
 r AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY md5('42|' || id), id) AS r, count(*) OVER (PARTITION BY split) AS n FROM s),
 z AS (SELECT split, any_value(n) AS n FROM r GROUP BY split),
 d AS (SELECT p.range AS pair, k.* FROM range(500) p, (VALUES ('cross', 'train', 'test'), ('train', 'train', 'train')) k(stratum, sa, sb)),
-q AS (SELECT stratum, pair, sa, sb, ('0x' || substr(md5('42|' || stratum || '|' || pair || '|a'), 1, 8))::BIGINT % za.n + 1 AS ra,
-  ('0x' || substr(md5('42|' || stratum || '|' || pair || '|b'), 1, 8))::BIGINT % zb.n + 1 AS rb FROM d JOIN z za ON za.split = sa JOIN z zb ON zb.split = sb),
+q AS (SELECT stratum, pair, sa, sb, ('0x' || substr(md5('42|' || stratum || '|' || pair || '|a'), 1, 15))::BIGINT % za.n + 1 AS ra,
+  ('0x' || substr(md5('42|' || stratum || '|' || pair || '|b'), 1, 15))::BIGINT % zb.n + 1 AS rb FROM d JOIN z za ON za.split = sa JOIN z zb ON zb.split = sb),
 pairs AS (SELECT stratum, pair, x.id AS a, y.id AS b FROM q JOIN r x ON x.split = sa AND x.r = ra JOIN r y ON y.split = sb AND y.r = rb)"""
 
 
@@ -126,9 +126,9 @@ def sample_split_pairs(spark, sf):
 
 @query("sample_substituted_pairs", """
 WITH p AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s FROM part),
-x AS (SELECT *, (('0x' || substr(md5('42|' || p_partkey || '|pos'), 1, 8))::BIGINT % length(s) + 1)::INTEGER AS pos FROM p),
+x AS (SELECT *, (('0x' || substr(md5('42|' || p_partkey || '|pos'), 1, 15))::BIGINT % length(s) + 1)::INTEGER AS pos FROM p),
 y AS (SELECT *, replace('ACDEFGHIKLMNPQRSTVWY', substr(s, pos, 1), '') AS alt FROM x)
-SELECT p_partkey, pos, s AS wild, substr(s, 1, pos - 1) || substr(alt, (('0x' || substr(md5('42|' || p_partkey || '|mut'), 1, 8))::BIGINT % length(alt) + 1)::INTEGER, 1) || substr(s, pos + 1) AS mutated FROM y""")
+SELECT p_partkey, pos, s AS wild, substr(s, 1, pos - 1) || substr(alt, (('0x' || substr(md5('42|' || p_partkey || '|mut'), 1, 15))::BIGINT % length(alt) + 1)::INTEGER, 1) || substr(s, pos + 1) AS mutated FROM y""")
 def sample_substituted_pairs(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("s"))
     return sa.substituted_pairs(p, "p_partkey", "s")

@@ -6,6 +6,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,19 +87,19 @@ def valid_sequences(
 
 
 def _token_batches(batches, budget: int):
-    """Groups of rows whose padded size stays under the token budget."""
-    ids, seqs, longest = [], [], 0
+    """Slices of each Arrow batch whose padded size stays under the token budget.
+
+    The padded size of a slice is its longest row times its rows, which grows with
+    the slice, so its end is found by a search."""
     for batch in batches:
-        for ident, seq in zip(batch.column("id").to_pylist(), batch.column("sequence").to_pylist()):
-            size = max(longest, len(seq))
-            if seqs and size * (len(seqs) + 1) > budget:
-                yield ids, seqs
-                ids, seqs, size = [], [], len(seq)
-            ids.append(ident)
-            seqs.append(seq)
-            longest = size
-    if seqs:
-        yield ids, seqs
+        lengths = pc.utf8_length(batch.column("sequence")).to_numpy(zero_copy_only=False).astype(np.int64)
+        low = 0
+        while low < len(lengths):
+            padded = np.maximum.accumulate(lengths[low:]) * np.arange(1, len(lengths) - low + 1)
+            rows = max(1, int(np.searchsorted(padded, budget, side="right")))
+            part = batch.slice(low, rows)
+            yield part.column("id").to_pylist(), part.column("sequence").to_pylist()
+            low += rows
 
 
 def _prepared(df: DataFrame, ident: str, seq: str, lengths, alphabet) -> DataFrame:

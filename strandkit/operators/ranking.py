@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandkit.functions.columns import hash_fraction, hash_order
-from strandkit.session import reliable_checkpoint
+from strandkit.session import reliable_checkpoint, shuffle_width
 
+# Least number of slices of a group, and the rows a slice should hold beyond it.
 SLICES = 64
+SLICE_ROWS = 1_000_000
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -40,15 +42,21 @@ def rank_in_group(
     ties: list[Column],
     rank: str = "group_rank",
     size: str = "group_size",
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Exact rank and group size for an order that starts with ``position`` in [0, 1).
 
     The position picks the slice, so a group of any size spreads over ``slices``
-    tasks.  Positions made from hashes are uniform and give equal slices.
+    tasks.  Positions made from hashes are uniform and give equal slices.  Unless
+    ``slices`` is given, their number grows with the rows of the table.
     """
+    if slices is None:
+        rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        width = F.greatest(F.lit(SLICES), F.ceil(rows / SLICE_ROWS)).cast("long")
+    else:
+        width = F.lit(slices).cast("long")
     sliced = df.withColumn("__pos", position).withColumn(
-        "__slice", F.least(F.floor(F.col("__pos") * slices), F.lit(slices - 1)).cast("int")
+        "__slice", F.least(F.floor(F.col("__pos") * width), width - 1)
     )
     counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     whole = W.partitionBy(*keys)
@@ -68,7 +76,7 @@ def rank_in_group(
 
 
 def random_rank_in_group(
-    df: DataFrame, keys: list[str], id_cols: list[str], seed: int, slices: int = SLICES, **names: str
+    df: DataFrame, keys: list[str], id_cols: list[str], seed: int, slices: int | None = None, **names: str
 ) -> DataFrame:
     """``rank_in_group`` in the order of md5(seed | id)."""
     ids = [F.col(c) for c in id_cols]
@@ -116,7 +124,7 @@ def slice_bounds(df: DataFrame, values: list[str]) -> list[list[float]]:
     """Approximate quantiles that cut each column into slices, in one pass.
 
     They only balance the slices; ranks computed with them are exact."""
-    width = min(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    width = shuffle_width(df.sparkSession)
     marks = [i / width for i in range(1, width)]
     if not marks:
         return [[] for _ in values]

@@ -178,17 +178,25 @@ def numbered_rows(df: DataFrame, ident: str, seed: int, keys: list[str] = ()) ->
 
 
 def random_pairs(df: DataFrame, ident: str, n_pairs: int, seed: int = 42) -> DataFrame:
-    """Up to ``n_pairs`` distinct unordered pairs (a, b) of different rows."""
+    """``n_pairs`` distinct unordered pairs (a, b) of different rows, or all pairs if
+    the table has fewer.  Draws are doubled until there are enough; the first ones
+    count, so the number of draws does not change the result."""
     rows = numbered_rows(df.select(ident), ident, seed).select("row", F.col(ident).alias("__id"))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = df.sparkSession.range(n_pairs * 2).withColumn("__n", n)
-    i = fc.hash_index(seed, F.col("__n"), F.col("id"), F.lit("a"))
-    j = fc.hash_index(seed, F.col("__n"), F.col("id"), F.lit("b"))
-    pairs = (
-        draws.select(F.col("id").alias("draw"), (F.least(i, j) + 1).alias("i"), (F.greatest(i, j) + 1).alias("j"))
-        .filter("i <> j").groupBy("i", "j").agg(F.min("draw").alias("draw"))
-        .orderBy("draw").limit(n_pairs)
-    )
+    n = df.count()
+    wanted, n_draws = min(n_pairs, n * (n - 1) // 2), 2 * n_pairs
+    bound = F.lit(max(n, 1))
+    i = fc.hash_index(seed, bound, F.col("id"), F.lit("a"))
+    j = fc.hash_index(seed, bound, F.col("id"), F.lit("b"))
+    while True:
+        drawn = (
+            df.sparkSession.range(n_draws)
+            .select(F.col("id").alias("draw"), (F.least(i, j) + 1).alias("i"), (F.greatest(i, j) + 1).alias("j"))
+            .filter("i <> j").groupBy("i", "j").agg(F.min("draw").alias("draw"))
+        )
+        if drawn.count() >= wanted:
+            break
+        n_draws *= 2
+    pairs = drawn.orderBy("draw").limit(n_pairs)
     left = rows.select(F.col("row").alias("i"), F.col("__id").alias("x"))
     right = rows.select(F.col("row").alias("j"), F.col("__id").alias("y"))
     return pairs.join(left, "i").join(right, "j").select(

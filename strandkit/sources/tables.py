@@ -111,25 +111,21 @@ def write_profiles(profiles: DataFrame, path: str, ident: str = "accession", buc
 
 # -- run log ------------------------------------------------------------------
 
-RUN_SCHEMA = "run_id string, kind string, created_at string, body string"
+RUN_SCHEMA = "run_id string, kind string, created_at timestamp, config map<string,string>, metrics map<string,double>"
 
 
 def log_run(spark: SparkSession, path: str, kind: str, config: dict, metrics: dict) -> str:
     """Append one run record; returns its id."""
-    stamp = datetime.now(timezone.utc)
-    text = json.dumps({"config": config, "metrics": metrics}, sort_keys=True, default=str)
-    run_id = f"{stamp.strftime('%Y%m%d_%H%M%S')}_{kind}_{uuid.uuid4().hex[:6]}"
-    row = [(run_id, kind, stamp.isoformat(), text)]
-    spark.createDataFrame(row, RUN_SCHEMA).coalesce(1).write.mode("append").json(path)
+    run_id = str(uuid.uuid4())
+    settings, figures = {k: str(v) for k, v in config.items()}, {k: float(v) for k, v in metrics.items()}
+    row = spark.createDataFrame([(run_id, kind, datetime.now(timezone.utc), settings, figures)], RUN_SCHEMA)
+    row.coalesce(1).write.mode("append").json(path)
     return run_id
 
 
 def read_runs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     runs = spark.read.schema(RUN_SCHEMA).json(path)
-    runs = runs.select(
-        "run_id", "kind", "created_at",
-        F.get_json_object("body", "$.config").alias("config"), F.get_json_object("body", "$.metrics").alias("metrics"),
-    )
+    runs = runs.select("run_id", "kind", "created_at", *[F.to_json(c).alias(c) for c in ("config", "metrics")])
     return runs if kind is None else runs.filter(F.col("kind") == kind)
 
 
@@ -158,19 +154,16 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def load_or_project(points: DataFrame, path: str, params: dict, compute) -> tuple[DataFrame, bool]:
     """Coordinates for a parameter set, from the table when they fit the data.
 
-    The version key joins the parameters and the data fingerprint.  A stored
-    version with another row count is computed again.
+    A version is named by the hash of a struct of the parameters together with the
+    fingerprint of the data, and counts as stored once its write has finished.
     """
     spark = points.sparkSession
-    mark = table_fingerprint(points).first()
-    body = json.dumps({**params, "data": mark["fingerprint"]}, sort_keys=True)
-    key = spark.range(1).select(F.substring(F.sha2(F.lit(body), 256), 1, 16)).first()[0]
+    named = F.struct(*[F.lit(str(params[p])).alias(p) for p in sorted(params)], F.lit(0).alias("__end"))
+    key = table_fingerprint(points).select(F.sha2(F.concat_ws(":", F.to_json(named), "fingerprint"), 256).alias("key")).first()["key"]
     target = f"{path}/version={key}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        stored = spark.read.parquet(target)
-        if stored.count() == mark["n_rows"]:
-            return stored, True
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return spark.read.parquet(target), True
     compute(points).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target), False
 

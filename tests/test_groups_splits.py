@@ -213,3 +213,18 @@ def test_pair_agreement_totals(spark):
     pairs = sa.random_pairs(df, "id", 50)
     got = mt.sampled_disagreement(pair_agreement(pairs, df, df.withColumn("group_id", F.col("id") % 2))).first()
     assert got["sampled_pairs"] == 50
+
+
+def test_random_pairs_reach_the_wanted_number(spark):
+    for n, wanted in ((10, 40), (50, 1000), (10, 45), (5, 400), (1, 3), (0, 3)):
+        pairs = {(r["a"], r["b"]) for r in sa.random_pairs(spark.range(n), "id", wanted).collect()}
+        assert len(pairs) == min(wanted, n * (n - 1) // 2)
+
+
+def test_hashed_numbers_pass_32_bits(spark):
+    from strandkit.functions import columns as fc
+
+    rows = spark.range(200).select(
+        fc.hash_index(1, F.lit(1 << 59), F.col("id")).alias("i"), fc.hash_fraction(1, F.col("id")).alias("f")
+    ).collect()
+    assert sum(r["i"] > 1 << 33 for r in rows) > 190 and all(0 < r["f"] < 1 for r in rows)
