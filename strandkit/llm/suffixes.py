@@ -125,35 +125,6 @@ class Chunk:
             found.append(base + np.flatnonzero(member[place % PERIOD] & (place + length <= np.repeat(lengths, lengths))))
         return np.concatenate(found)
 
-    def all_hashes(self, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
-        """(first position, hashes) of the LENGTH bytes from every position, block by block.
-
-        Hashes of 64 and 128 bytes come from those of their halves."""
-        last = self.size - LENGTH + 1
-        for low in range(0, max(last, 0), block):
-            n = min(block, last - low)
-            part = self.words[low : low + n + LENGTH - 8]
-            h, width, kept = part, 8, {}
-            while width < 128:
-                h = (h[:-width] * _MIX[0]) ^ (h[width:] + _MIX[1])
-                h *= _MIX[2]
-                h ^= h >> np.uint64(29)
-                width *= 2
-                if width == 64:
-                    kept[64] = h
-            whole = (h[64 : 64 + n] * _MIX[0]) ^ (kept[64][:n] + _MIX[1])
-            whole *= _MIX[2]
-            whole ^= whole >> np.uint64(31)
-            whole = (whole ^ part[192 : 192 + n]) * _MIX[0]
-            yield low, whole ^ (whole >> np.uint64(32))
-
-    def samples(self, length: int) -> np.ndarray:
-        """Cover positions, counted from the start of each document, with enough bytes after them."""
-        member = np.zeros(PERIOD, bool)
-        member[list(COVER)] = True
-        place = np.arange(self.size) - np.repeat(self.starts, self.lengths)
-        return np.flatnonzero(member[place % PERIOD] & (np.arange(self.size) + length <= np.repeat(self.ends, self.lengths)))
-
 
 def _union(first: np.ndarray, behind: np.ndarray, size: int) -> np.ndarray:
     """Marks all places of the stretches [first, behind)."""
