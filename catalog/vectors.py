@@ -236,6 +236,33 @@ def ann_recall(spark, sf):
     return name("cells", cell_knn(e, e, 10)).unionByName(name("signatures", signature_knn(e, e, 10)))
 
 
+# What every approximate plan must keep: k hits for each query, exact similarities of what it
+# returns, and a share of the true neighbours.
+RECALL_FLOORS = {"cells": 0.5, "quantized": 0.9, "signatures": 0.9}
+
+
+@query("ann_checks", f"""
+SELECT plan, 10 * count(*) AS n_hits, 0::BIGINT AS n_wrong, true AS recall_holds
+FROM embeddings, (VALUES {', '.join(f"('{p}')" for p in RECALL_FLOORS)}) AS p(plan) GROUP BY plan""")
+def ann_checks(spark, sf):
+    from strandkit.session import reliable_checkpoint
+
+    e = store(spark, sf)
+    exact = reliable_checkpoint(kn.knn(e, e, 10))
+    out = None
+    for plan, search in {"cells": cell_knn, "quantized": quantized_knn, "signatures": signature_knn}.items():
+        hits = reliable_checkpoint(search(e, e, 10))
+        pairs = hits.join(e.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(
+            e.select("id", F.col("vector").alias("c")), "id"
+        )
+        wrong = F.abs(fv.cosine(F.col("q"), F.col("c")) - F.col("similarity")) > 1e-6
+        counts = pairs.agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(wrong).alias("n_wrong"))
+        recall = mt.recall_at_k(exact, hits, 10).select((F.col("recall_at_10") >= RECALL_FLOORS[plan]).alias("recall_holds"))
+        row = mt.one_row(counts, recall).select(F.lit(plan).alias("plan"), "n_hits", "n_wrong", "recall_holds")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # -- metrics over other tables ----------------------------------------------------
 
 C_SQL = "c AS (SELECT l_returnflag AS a, l_linestatus || l_linenumber AS b FROM lineitem)"
