@@ -329,6 +329,13 @@ def test_repeats_equal_brute_force(spark, documents, texts, sizes):
     assert got == brute_repeats(rows)
 
 
+def test_samples_of_blocks_equal_plain_counting():
+    lengths = np.array([5, 0, 300_000, 1, 2_500_000, 700, 0, 400_000])
+    chunk = suffixes.Chunk(bytes(int(lengths.sum())), lengths)
+    want = [s + i for s, n in zip(chunk.starts.tolist(), lengths.tolist()) for i in range(n - 67) if i % suffixes.PERIOD in suffixes.COVER]
+    assert chunk.samples(68).tolist() == want
+
+
 def test_difference_cover():
     assert suffixes.is_cover(suffixes.COVER, suffixes.PERIOD) and max(suffixes.COVER) < suffixes.PERIOD < suffixes.LENGTH
 
