@@ -10,7 +10,7 @@ from strandkit.operators import knn as kn
 from strandkit.operators import metrics as mt
 from strandkit.operators.ann import cell_knn, quantized_knn, signature_knn
 from strandkit.operators.cluster import outlier_scores
-from strandkit.operators.lookup import hit_summaries
+from strandkit.operators.lookup import hit_summaries, with_similarity
 from strandkit.operators.pooling import region_pool
 from strandkit.operators.ranking import number_in_order
 from strandkit.operators.sampling import stratified_holdout
@@ -178,12 +178,8 @@ SELECT e.id, e.label, CASE WHEN e.id = (SELECT id FROM o) THEN 1.0 ELSE round(h.
 def vec_similarity_overlay(spark, sf):
     e = store(spark, sf)
     first = e.agg(F.min("id").alias("id"))
-    query_id = first.scalar()
-    hits = kn.knn(e.join(F.broadcast(first), "id", "left_semi"), e, 10)
-    near = hits.select("id", "similarity")
-    return e.select("id", "label").join(F.broadcast(near), "id", "left").select(
-        "id", "label", F.when(F.col("id") == query_id, 1.0).otherwise(F.round("similarity", 6)).alias("similarity")
-    )
+    hits = kn.knn(e.join(F.broadcast(first), "id", "left_semi"), e, 10).withColumn("similarity", F.round("similarity", 6))
+    return with_similarity(e.select("id", "label"), hits, "id", first.scalar())
 
 
 @query("vec_nearest_label_accuracy", f"""

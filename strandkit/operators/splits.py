@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandkit import constants as C
 from strandkit.functions import columns as fc
-from strandkit.operators.groups import assign_groups, group_statistics, identity_groups
+from strandkit.operators.groups import assign_groups, identity_groups
 from strandkit.operators.kmers import kmer_frequencies, sparse_cosine
 from strandkit.operators.metrics import pair_distribution
 from strandkit.operators.ranking import rank_in_group
@@ -118,7 +118,3 @@ def audit_leakage(
     # the features of the sampled rows only, read on both sides of every pair
     features = reliable_checkpoint(kmer_frequencies(sampled, ident, seq, k, alphabet))
     return pair_distribution(sparse_cosine(pairs, features, ident), "stratum", "cosine")
-
-
-def split_statistics(groups: DataFrame) -> DataFrame:
-    return group_statistics(groups, kind=None)

@@ -99,6 +99,13 @@ def test_approximate_recall(spark):
         assert mt.recall_at_k(exact, found, 5).first()["recall_at_5"] >= 0.7
 
 
+def test_thin_buckets_still_give_k_hits(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, rng.normal(size=(200, 16)))
+    hits = ann.signature_knn(df, df, 5, tables=2, bits=12).groupBy("query_id").count().collect()
+    assert len(hits) == 200 and {r["count"] for r in hits} == {5}
+
+
 def test_codes_are_small(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(300, 64))

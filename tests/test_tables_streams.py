@@ -80,6 +80,17 @@ def test_append(spark, raw_path):
         pc.append_entries(wanted, df, corpus, em.HashingEncoder(8), ["mean", "attention"])
 
 
+def test_corpus_in_order(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "ordered")
+    tb.write_corpus(spark.range(1000, numPartitions=4).orderBy(F.desc("id")), path, order="id")
+    assert [i for f in sorted(glob.glob(f"{path}/*.parquet")) for i in pq.read_table(f)["id"].to_pylist()] == list(range(1000))
+    assert tb.read_corpus(spark, path).count() == 1000
+
+
 def test_store_round_trip(spark, tmp_path):
     path = str(tmp_path / "store")
     vectors = spark.createDataFrame(
