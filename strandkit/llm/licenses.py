@@ -1,8 +1,11 @@
 """Licences by sentence recognition and ordered rules.
 
-A text is cut into sentences, each is normalised (small letters, digits, single
-spaces) and looked up in a table of known licence sentences, which gives an
-identifier.  The identifiers of a document, in text order, are matched against
+A text is cut into sections at blank lines and after ``. ! ?``, and a section into
+pieces at line ends and after ``; :``.  Pieces are normalised (small letters, digits,
+single spaces), which takes off comment marks as well; a line with nothing left is
+blank.  Any run of pieces may be a sentence, so wrapped sentences are whole: the longest
+run from each piece that stands in a table of known licence sentences gives an
+identifier, and the next one starts behind it.  The identifiers of a document, in text order, are matched against
 ordered rules: a rule names the identifiers that must follow each other, with others
 between them allowed.  Rules for a whole licence text stand before those for a
 notice, and a notice is not reported beside the text of its licence.
@@ -95,20 +98,52 @@ def _rule_pattern(ids: list[str]) -> str:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with a licence cue, normalised."""
-    lines = F.split(F.regexp_replace(text, r"([.;:!?])[\x20\x09-\x0D]+", "$1\n"), r"\n+")
-    cued = F.filter(lines, lambda s: s.rlike(CUES))
-    plain = F.transform(cued, lambda s: F.regexp_replace(F.translate(s, _UPPER, _LOWER), r"[^a-z0-9.+-]+", " "))
-    return F.transform(plain, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[ .+-]+|[ .+-]+$", ""), NOTICE, "under "))
+SECTION_END = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[^A-Za-z0-9]*\n"
+PIECE_END = r"(?<=[;:])[\x20\x09-\x0D]+|\n"
+# The cues with a line end, and a comment mark behind it, inside.
+WIDE_CUES = CUES.replace(" ", "[^A-Za-z0-9]+")
+# Words before "under" and up to the name in the longest opening of a notice.
+NOTICE_WORDS = 12
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+def sections(text: Column) -> Column:
+    """Sections with a licence cue, each as its normalised pieces."""
+    cued = F.filter(F.split(text, SECTION_END), lambda s: s.rlike(WIDE_CUES))
+
+    def pieces(section: Column) -> Column:
+        plain = F.transform(F.split(section, PIECE_END), lambda s: F.regexp_replace(F.translate(s, _UPPER, _LOWER), r"[^a-z0-9.+-]+", " "))
+        bare = F.transform(plain, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[ .+-]*(?:(?:dnl|rem) )?[ .+-]*", ""), r"[ .+-]+$", ""))
+        return F.filter(bare, lambda s: s != "")
+
+    return F.transform(cued, pieces)
+
+
+def _found(pieces: Column) -> Column:
+    """Identifiers of the known sentences of a section, each the longest from its first piece."""
     table = sentence_table()
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.transform(sentences(text), lambda s: F.element_at(known, s))
-    return F.when(text.rlike(CUES), F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    openings = {s.split()[0] for s in table} | set("this it made licensed released distributed available published provided".split())
+    opens = rf"^(?:{'|'.join(sorted(openings))})(?: |$)"
+    most = max(len(s.split()) for s in table) + NOTICE_WORDS  # pieces of a sentence: each has a word
+
+    def ident(first: Column, last: Column) -> Column:
+        joined = F.array_join(F.slice(pieces, first, last - first + 1), " ")
+        return F.when(joined.rlike(CUES), F.element_at(known, F.regexp_replace(joined, NOTICE, "under ")))
+
+    def longest(first: Column) -> Column:
+        ends = F.transform(F.sequence(first, F.least(first + most - 1, F.size(pieces))), lambda last: F.struct(last.alias("last"), ident(first, last).alias("id")))
+        return F.struct(first.alias("first"), F.array_max(F.filter(ends, lambda e: e["id"].isNotNull())).alias("end"))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i).rlike(opens))
+    runs = F.filter(F.transform(starts, longest), lambda r: r["end"].isNotNull())
+    none = F.struct(F.lit(0).alias("last"), F.array().cast("array<string>").alias("ids"))
+    taken = F.aggregate(runs, none, lambda s, r: F.when(r["first"] > s["last"], F.struct(r["end"]["last"].alias("last"), F.concat(s["ids"], F.array(r["end"]["id"])).alias("ids"))).otherwise(s))
+    return F.when(F.size(pieces) > 0, taken["ids"]).otherwise(F.array().cast("array<string>"))
+
+
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order."""
+    return F.when(text.rlike(WIDE_CUES), F.flatten(F.transform(sections(text), _found))).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:

@@ -368,6 +368,81 @@ def test_licence_rules(spark):
         assert re.search(licenses.CUES, sentence)
 
 
+WRAPPED = {
+    "MIT:text": """MIT License
+Copyright (c) 2020 Ann Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0:text": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-3-Clause:text,reserved:notice": """Copyright (c) 2020, Ann Example
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0-or-later:text": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "ISC:text": """Copyright (c) 2020 Ann Example
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0:notice": "The tool is small.\nThis program is licensed under the terms of the\nMozilla Public License,\nVersion 2.0",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", ";; ", "dnl ", "REM "])
+def test_wrapped_licence_texts(spark, mark):
+    rows = [(wanted, ending.join(mark + line for line in text.split("\n"))) for wanted, text in WRAPPED.items() for ending in ("\n", "\r\n")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in got] == [(wanted, wanted) for wanted, _ in rows]
+
+
+def test_lines_apart_are_no_sentence(spark):
+    rows = [(1, "Licensed under the\n\nMIT License"), (2, "Licensed under the.\nMIT License"), (3, "Licensed under the MIT License\nand more words here"), (4, "\n" * 50_000 + "Licensed under the MIT\nLicense" + " \n" * 50_000)]
+    got = {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, ""), 2: (0, ""), 3: (1, "MIT:notice"), 4: (1, "MIT:notice")}
+
+
 # -- queries and the pipeline
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_equals_sql(spark, name):
