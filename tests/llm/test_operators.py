@@ -443,6 +443,12 @@ def test_lines_apart_are_no_sentence(spark):
     assert got == {1: (0, ""), 2: (0, ""), 3: (1, "MIT:notice"), 4: (1, "MIT:notice")}
 
 
+def test_spdx_tags(spark):
+    rows = [(f"{licence}:notice", f"{before} {name}{after}") for licence, names in licenses.NAMES.items() for name in names[-1:] for before, after in (("# SPDX-License-Identifier:", "\nimport os"), ("/* SPDX-License-Identifier:\t", " */"))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in got] == [(wanted, wanted) for wanted, _ in rows]
+
+
 # -- queries and the pipeline
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_equals_sql(spark, name):
