@@ -1,24 +1,27 @@
-"""Removal of repeated byte strings by a difference-cover, blockwise suffix sort.
+"""Removal of repeated byte strings by fingerprints, with a difference cover before them.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts elsewhere in
-the corpus.  Suffixes are compared by their first ``LENGTH`` bytes only, and most are
-never sorted:
+the corpus.  This is a search for equal strings of fixed length by their hashes.  It stands
+in for a difference-cover, blockwise suffix sort: no suffix is put in order, no sample
+gets a rank, and no bytes are compared.
 
 1. Positions in a difference cover modulo ``PERIOD`` are the sample.  Two positions of a
    repeat, however they are aligned, meet a pair of sample positions within PERIOD - 1
-   bytes, whose next LENGTH - PERIOD + 1 bytes are equal as well.  Sorting the samples by
-   these bytes ranks them; samples that share a rank are tied.  No repeat lies outside
-   the reach of a tied sample.
-2. The suffixes that start within reach before a tied sample are sorted by their LENGTH
-   bytes; those that are not alone are the repeats, and their bytes go.
-
-Each sort runs bucket by bucket.  Suffixes go to buckets by hash, as one packed array for
-each pair of chunk and bucket, in which equal strings appear once: one passage that
+   bytes, whose next LENGTH - PERIOD + 1 bytes are equal as well.  Samples whose hashes of
+   these bytes are equal are tied.  No repeat lies outside the reach of a tied sample.
+2. The strings of LENGTH bytes that start within reach before a tied sample are hashed;
+   those whose hash is not alone are the repeats, and their bytes go.
+
+Each search runs bucket by bucket.  Strings go to buckets by hash, as one packed array for
+each pair of chunk and bucket, in which equal hashes appear once: one passage that
 fills a third of the corpus adds one key per chunk to its bucket.  A bucket holds a
 bounded share of the corpus, since the number of buckets grows with it.  The answer is one
-bit per key, sent back to the chunk.  In step 1 keys are 32-bit hashes beside the bucket,
-since a false tie only adds a candidate; in step 2 they are 64-bit hashes beside the
-bucket, and a false removal needs a collision of all those bits.
+bit per key, sent back to the chunk.  In step 1 keys are 32 bits of the hash beside the
+bucket, since a false tie only adds a candidate.  In step 2 they are 64 bits, and the bucket
+follows from them, so it adds none.  No repeat is missed, but two different strings with one
+hash are both removed: among n different candidates at most 6 n^2 / 2^65 such pairs are
+expected if each of the up to 6 folding steps spreads evenly, which a fixed hash cannot
+promise for texts made against it.
 
 Documents are packed once into chunks of about ``CHUNK_BYTES`` in a table of the
 checkpoint folder.  Every step recomputes its keys from the chunk, so a lost executor
