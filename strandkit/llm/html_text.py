@@ -3,7 +3,11 @@
 Markup is stripped into lines, one per block.  Scripts, styles, forms and what is
 marked as menu, header, footer, sidebar, notice, advert or reader comments count as
 empty lines, and so does everything outside an ``article`` or ``main`` element if the
-page has one.  Line lengths are summed over a sliding window; a surge is where the
+page has one.  A class or id marks an element if one whole name in it is made of marking
+words: ``cookie-notice`` does, ``has-sidebar`` does not.  A ``main`` that is not marked
+itself is never dropped with the elements around it, nor is an ``article`` so placed if
+the page has no other and its text is longer than the rest (of ``main``, or of the page
+without one).  Articles among comments and teasers stay out.  Line lengths are summed over a sliding window; a surge is where the
 sum rises from nothing to a share of its peak, a dive is where it falls to nothing.
 The lines from the surge to the dive are the text.
 
@@ -42,6 +46,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = set("nav footer aside form button select datalist dialog menu head object svg canvas audio video map math search".split())
 MAIN = {"article", "main"}
+# Where a line is: outside, in main alone, in an article, in an article that stands in a dropped element.
+OUTSIDE, IN_MAIN, IN_ARTICLE, IN_DROPPED_ARTICLE = range(4)
+KEPT, DROPPED_TEXT, DROPPED_OTHERS = range(3)
 ENDS_PARAGRAPH = BLOCKS - {"caption", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head"}
 CLOSED_BY_SIBLING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
 SIBLINGS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -52,7 +59,11 @@ NOT_TEXT = set(
     "disclaimer disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay paywall pager pagination "
     "popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
-NOT_TEXT_OUTSIDE_ARTICLE = {"header", "site", "alert"}
+NOT_TEXT_OUTSIDE_ARTICLE = {"header", "alert"}
+# Words that leave the meaning of a name to its others.
+NEUTRAL = {"site"}
+# An article in one of these is never that of the page.
+OF_OTHERS = set("comment comments commentlist disqus related replies respond teaser".split())
 NOT_TEXT_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note feed".split())
 
 _TOKEN = re.compile(
@@ -66,19 +77,22 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _marked(attrs: str, in_main: bool) -> bool:
-    """Whether the attributes of an element mark it as something beside the article."""
+def _marked(attrs: str, in_main: bool) -> int:
+    """Whether the attributes of an element mark it as something beside the article: DROPPED_TEXT or,
+    where articles in it are others, DROPPED_OTHERS."""
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            words = {w.lower() for w in _NAME_PARTS.findall(value)}
-            if words & NOT_TEXT or not in_main and words & NOT_TEXT_OUTSIDE_ARTICLE:
-                return True
+            marks = NOT_TEXT if in_main else NOT_TEXT | NOT_TEXT_OUTSIDE_ARTICLE
+            for whole in value.split():
+                words = {w.lower() for w in _NAME_PARTS.findall(whole) if not w.isdigit()} - NEUTRAL
+                if words and words <= marks:
+                    return DROPPED_OTHERS if words & OF_OTHERS else DROPPED_TEXT
         elif name == "role" and value.lower() in NOT_TEXT_ROLES:
-            return True
+            return DROPPED_TEXT
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return bool(_HIDDEN.search(_ATTRIBUTE.sub(" ", attrs)))
+            return DROPPED_TEXT
+    return DROPPED_TEXT if _HIDDEN.search(_ATTRIBUTE.sub(" ", attrs)) else KEPT
 
 
 class Lines:
@@ -87,12 +101,12 @@ class Lines:
     def __init__(self, page: str):
         self.text: list[str] = []
         self.dropped: list[bool] = []
-        self.main: list[bool] = []
+        self.main: list[int] = []
         self.link_chars: list[int] = []
         self._parts: list[str] = []
         self._links: list[str] = []
-        # open elements: (name, dropped, inside the main element, inside a link)
-        self._open: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        # open elements: (name, dropped, inside the main element and how, inside a link)
+        self._open: list[tuple[str, int, int, bool]] = [("", KEPT, OUTSIDE, False)]
         self._read(page)
 
     def _end_line(self) -> None:
@@ -101,7 +115,7 @@ class Lines:
             if text:
                 _, dropped, main, _ = self._open[-1]
                 self.text.append(text)
-                self.dropped.append(dropped)
+                self.dropped.append(bool(dropped))
                 self.main.append(main)
                 self.link_chars.append(len("".join("".join(self._links).split())))
             self._parts, self._links = [], []
@@ -112,7 +126,7 @@ class Lines:
         for _ in range(WINDOW_LINES):
             self.text.append("")
             self.dropped.append(True)
-            self.main.append(False)
+            self.main.append(OUTSIDE)
             self.link_chars.append(0)
 
     def _pop(self, depth: int) -> None:
@@ -145,15 +159,20 @@ class Lines:
         if name in CLOSED_BY_SIBLING:
             self._close(SIBLINGS.get(name, {name}), CLOSED_BY_SIBLING[name])
         _, dropped, main, link = self._open[-1]
-        now_main = main or name in MAIN and not dropped
-        out = dropped or name in DROPPED or name == "header" and not now_main
-        if not out and attrs and name not in ("html", "body", *MAIN):
-            out = _marked(attrs, now_main)
-        elif not out and attrs and name == "article" and main:
-            out = _marked(attrs, True)  # a comment inside the article
-        if name in BLOCKS or out != dropped:
+        now_main, out = main, dropped
+        if name in MAIN and main in (OUTSIDE, IN_MAIN) and not (name == "article" and dropped == DROPPED_OTHERS):
+            # a comment inside the main element, or one of those in a dropped element, is marked itself
+            out = _marked(attrs, True) if attrs and (dropped or main) else KEPT
+            if not out:
+                now_main = IN_MAIN if name == "main" else IN_DROPPED_ARTICLE if dropped else IN_ARTICLE
+        elif dropped != DROPPED_OTHERS:
+            if attrs and name not in ("html", "body"):
+                out = max(out, _marked(attrs, bool(main)))  # also a comment inside the article
+            if name in DROPPED or name == "header" and not main:
+                out = out or DROPPED_TEXT
+        if name in BLOCKS or bool(out) != bool(dropped):
             self._end_line()
-        if out != dropped or now_main != main:
+        if bool(out) != bool(dropped) or now_main != main:
             self._gap()
         self._open.append((name, out, now_main, link or name == "a"))
 
@@ -211,7 +230,13 @@ def between_surge_and_dive(weights: np.ndarray, share: float, window: int = WIND
 def main_text(page: str) -> str:
     lines = Lines(page)
     sizes = np.array([0 if d else len(t) for t, d in zip(lines.text, lines.dropped)], np.int64)
-    inside = np.array(lines.main, bool)
+    place = np.array(lines.main, np.int8)
+    inside, placed = (place == IN_MAIN) | (place == IN_ARTICLE), place == IN_DROPPED_ARTICLE
+    rest = inside if sizes[inside].any() else place == OUTSIDE
+    if not sizes[place == IN_ARTICLE].any() and sizes[placed].sum() > sizes[rest].sum():
+        inside |= placed
+    else:
+        sizes[placed] = 0
     if sizes[inside].any():
         sizes[~inside] = 0
         kept = between_surge_and_dive(sizes, 0.0)
@@ -220,7 +245,7 @@ def main_text(page: str) -> str:
         links = np.array(lines.link_chars, np.int64)
         sizes[2 * links > sizes] = 0
         kept = between_surge_and_dive(sizes, SURGE_SHARE)
-        allowed = np.ones(len(sizes), bool)
+        allowed = ~placed
     return "\n".join(t for t, k, d, a in zip(lines.text, kept, lines.dropped, allowed) if k and a and not d and t)
 
 

@@ -241,6 +241,38 @@ def test_page_shapes(page, text):
     assert found == text if text is not None else "one" not in found and found.endswith("here.")
 
 
+STORY = "<h1>Title</h1><p>" + "The story goes on. " * 20 + "</p>"
+STORY_TEXT = "Title\n" + ("The story goes on. " * 20).strip()
+
+
+@pytest.mark.parametrize("names", [
+    "content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-banner", "elementor-widget", "site", "widget", "sidebar", "modal overlay", "banner",
+])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_wrappers_keep_the_article(names, inner):
+    if inner == "div" and names in ("widget", "sidebar", "modal overlay", "banner"):
+        pytest.skip("a marked name, and nothing says that the text in it is the article")
+    for attribute in ("class", "id"):
+        page = f"<body><div class=cookie-notice>we use cookies</div><div {attribute}='{names}'><nav>menu</nav><{inner}>{STORY}<div class='ad-2'>buy</div></{inner}><aside>side</aside></div></body>"
+        assert html_text.main_text(page) == STORY_TEXT
+
+
+@pytest.mark.parametrize("page, text", [
+    # the wrapper stands in main, or is a form or hidden element
+    (f"<main><p>Over it</p><div class=widget><article>{STORY}</article></div></main>", "Over it\n" + STORY_TEXT),
+    (f"<form><main>{STORY}</main></form>", STORY_TEXT), (f"<div hidden><main>{STORY}</main></div>", STORY_TEXT),
+    # comments stay out, whatever they stand in
+    (f"<article>{STORY}</article><div class=comments><article>{'c' * 999}</article></div>", STORY_TEXT),
+    (f"<main>{STORY}<div class=comments><article>{'c' * 999}</article></div></main>", STORY_TEXT),
+    (f"<div>{STORY}</div><div class=widget><div class=related><article>{'c' * 999}</article></div></div>", STORY_TEXT),
+    (f"<div>{STORY}</div><div class=sidebar><article>A short one</article></div>", STORY_TEXT),
+    (f"<main>{STORY}<article class=comment>{'c' * 999}</article></main>", STORY_TEXT),
+    (f"<div class=widget><main>{STORY}<div class=comment-2>c</div></main><main class=comments>d</main></div>", STORY_TEXT),
+])
+def test_marked_elements_around_and_inside(page, text):
+    assert html_text.main_text(page) == text
+
+
 # -- archives
 def test_archives_round_trip(spark):
     rows = [(i, f"http://x/{i}\r\n", t) for i, t in enumerate(["<p>a</p>", "", None, "é" * 3000, "<p>a</p>", "b", "<p>a</p>"])] + [(None, None, "b"), (5, "u", "b")]
