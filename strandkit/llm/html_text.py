@@ -1,19 +1,21 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one per block.  Scripts, styles, forms and what is
-marked as menu, header, footer, sidebar, notice, advert or reader comments count as
-empty lines, and so does everything outside an ``article`` or ``main`` element if the
-page has one.  A class or id marks an element if one whole name in it is made of marking
-words: ``cookie-notice`` does, ``has-sidebar`` does not.  A ``main`` that is not marked
-itself is never dropped with the elements around it, nor is an ``article`` so placed if
-the page has no other and its text is longer than the rest (of ``main``, or of the page
-without one).  Articles among comments and teasers stay out.  Line lengths are summed over a sliding window; a surge is where the
-sum rises from nothing to a share of its peak, a dive is where it falls to nothing.
-The lines from the surge to the dive are the text.
-
-Without such an element, lines that are mostly links count as empty and the surge must
-reach ``SURGE_SHARE`` of the peak; with one, any text is a surge, so that short articles
-stay whole.
+marked as menu, header, footer, sidebar, notice, advert or reader comments give no
+lines, so what stands around them is adjacent.  A class or id marks an element if one
+whole name in it is made of marking words: ``cookie-notice`` does, ``has-sidebar`` does
+not.  A ``main`` that is not marked itself is never dropped with the elements around it,
+nor is an ``article`` so placed if the page has no other and its text is longer than the
+rest (of ``main``, or of the page without one).  Articles among comments and teasers
+stay out.
+
+If the page has an ``article`` or ``main`` element, its lines are the text.  Without one,
+line lengths are summed over a sliding window, in which lines that are mostly links count
+as empty; a surge is where the sum rises from nothing to ``SURGE_SHARE`` of its peak, a
+dive is where it falls to nothing.  The lines from a surge to its dive are the text, and
+with them, however short: other lines between the first surge and the last dive, and
+those in the same container as a line of the text.  Lines that are mostly links stay if they
+are in such a stretch or, unless it is the body, in such a container.
 
 A null or empty page has the empty text.  Broken markup, unknown references and texts
 of any length are read as browsers do: an unclosed element ends with the one around
@@ -46,6 +48,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = set("nav footer aside form button select datalist dialog menu head object svg canvas audio video map math search".split())
 MAIN = {"article", "main"}
+# What holds paragraphs, lists and headings; the body is the container PAGE.
+CONTAINERS = set("article aside dialog div fieldset footer form header main section td th".split())
+PAGE = 0
 # Where a line is: outside, in main alone, in an article, in an article that stands in a dropped element.
 OUTSIDE, IN_MAIN, IN_ARTICLE, IN_DROPPED_ARTICLE = range(4)
 KEPT, DROPPED_TEXT, DROPPED_OTHERS = range(3)
@@ -96,47 +101,38 @@ def _marked(attrs: str, in_main: bool) -> int:
 
 
 class Lines:
-    """The lines of a page: text, whether it may belong to the article, and where."""
+    """The lines of a page that may belong to the article: text, where, and its characters in links."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
-        self.dropped: list[bool] = []
         self.main: list[int] = []
+        self.container: list[int] = []
         self.link_chars: list[int] = []
         self._parts: list[str] = []
         self._links: list[str] = []
-        # open elements: (name, dropped, inside the main element and how, inside a link)
-        self._open: list[tuple[str, int, int, bool]] = [("", KEPT, OUTSIDE, False)]
+        # open elements: (name, dropped, inside the main element and how, inside a link, number of the container)
+        self._open: list[tuple[str, int, int, bool, int]] = [("", KEPT, OUTSIDE, False, PAGE)]
+        self._containers = PAGE
         self._read(page)
 
     def _end_line(self) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                _, dropped, main, _ = self._open[-1]
-                self.text.append(text)
-                self.dropped.append(bool(dropped))
-                self.main.append(main)
-                self.link_chars.append(len("".join("".join(self._links).split())))
+                _, dropped, main, _, container = self._open[-1]
+                if not dropped:
+                    self.text.append(text)
+                    self.main.append(main)
+                    self.container.append(container)
+                    self.link_chars.append(len("".join("".join(self._links).split())))
             self._parts, self._links = [], []
 
-    def _gap(self) -> None:
-        """Empty lines, so that no window reaches across."""
-        self._end_line()
-        for _ in range(WINDOW_LINES):
-            self.text.append("")
-            self.dropped.append(True)
-            self.main.append(OUTSIDE)
-            self.link_chars.append(0)
-
     def _pop(self, depth: int) -> None:
         """Closes the elements from ``depth`` on."""
         for entry in self._open[depth:]:
             if entry[0] in BLOCKS or entry[1] != self._open[depth - 1][1]:
                 self._end_line()
                 break
-        if any(e[1] != self._open[depth - 1][1] or e[2] != self._open[depth - 1][2] for e in self._open[depth:]):
-            self._gap()
         del self._open[depth:]
 
     def _close(self, names: set[str], stop: set[str]) -> None:
@@ -158,7 +154,7 @@ class Lines:
             self._close({"p"}, {"td", "th", "button", "caption", "table", "object"})
         if name in CLOSED_BY_SIBLING:
             self._close(SIBLINGS.get(name, {name}), CLOSED_BY_SIBLING[name])
-        _, dropped, main, link = self._open[-1]
+        _, dropped, main, link, container = self._open[-1]
         now_main, out = main, dropped
         if name in MAIN and main in (OUTSIDE, IN_MAIN) and not (name == "article" and dropped == DROPPED_OTHERS):
             # a comment inside the main element, or one of those in a dropped element, is marked itself
@@ -172,9 +168,10 @@ class Lines:
                 out = out or DROPPED_TEXT
         if name in BLOCKS or bool(out) != bool(dropped):
             self._end_line()
-        if bool(out) != bool(dropped) or now_main != main:
-            self._gap()
-        self._open.append((name, out, now_main, link or name == "a"))
+        if name in CONTAINERS:
+            self._containers += 1
+            container = self._containers
+        self._open.append((name, out, now_main, link or name == "a", container))
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -229,24 +226,29 @@ def between_surge_and_dive(weights: np.ndarray, share: float, window: int = WIND
 
 def main_text(page: str) -> str:
     lines = Lines(page)
-    sizes = np.array([0 if d else len(t) for t, d in zip(lines.text, lines.dropped)], np.int64)
+    sizes = np.array([len(t) for t in lines.text], np.int64)
     place = np.array(lines.main, np.int8)
     inside, placed = (place == IN_MAIN) | (place == IN_ARTICLE), place == IN_DROPPED_ARTICLE
-    rest = inside if sizes[inside].any() else place == OUTSIDE
-    if not sizes[place == IN_ARTICLE].any() and sizes[placed].sum() > sizes[rest].sum():
+    rest = inside if inside.any() else place == OUTSIDE
+    if not (place == IN_ARTICLE).any() and sizes[placed].sum() > sizes[rest].sum():
         inside |= placed
-    else:
-        sizes[placed] = 0
-    if sizes[inside].any():
-        sizes[~inside] = 0
-        kept = between_surge_and_dive(sizes, 0.0)
-        allowed = inside
-    else:
-        links = np.array(lines.link_chars, np.int64)
-        sizes[2 * links > sizes] = 0
-        kept = between_surge_and_dive(sizes, SURGE_SHARE)
-        allowed = ~placed
-    return "\n".join(t for t, k, d, a in zip(lines.text, kept, lines.dropped, allowed) if k and a and not d and t)
+    if not inside.any():
+        inside = ~placed
+        inside[inside] = _text_block(sizes[inside], np.array(lines.link_chars, np.int64)[inside], np.array(lines.container, np.int64)[inside])
+    return "\n".join(t for t, kept in zip(lines.text, inside) if kept)
+
+
+def _text_block(sizes: np.ndarray, link_chars: np.ndarray, container: np.ndarray) -> np.ndarray:
+    """Marks the lines of the text on a page that does not say where it is."""
+    links = 2 * link_chars > sizes
+    kept = between_surge_and_dive(np.where(links, 0, sizes), SURGE_SHARE)
+    if not kept.any():
+        return kept
+    at = np.flatnonzero(kept)
+    between = np.zeros(len(sizes), bool)
+    between[at[0] : at[-1] + 1] = True
+    beside = np.isin(container, container[kept & ~links])
+    return kept | ~links & (between | beside) | links & beside & (container != PAGE)
 
 
 def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -245,6 +245,30 @@ STORY = "<h1>Title</h1><p>" + "The story goes on. " * 20 + "</p>"
 STORY_TEXT = "Title\n" + ("The story goes on. " * 20).strip()
 
 
+PARAGRAPHS = ["One long paragraph. " * 20, "Another one here. " * 22, "And one more text. " * 21]
+SHARE = "<div class=share><a href=x>post</a></div>"
+MENU = "".join(f"<div><a href={i}>Menu entry {i}</a></div>" for i in range(5))
+
+
+@pytest.mark.parametrize("wrapper", ["<body>{}</body>", "<body><div id=content>{}</div></body>"])
+@pytest.mark.parametrize("before, after, lines", [
+    (f"<h1>Title</h1>{SHARE}", "", ["Title", None]),
+    ("", "<div class=ad>buy</div><p>The end.</p>", [None, "The end."]),
+    (f"<h1>Title</h1>{SHARE}{MENU}", f"{MENU}<p>The end.</p>", ["Title", None, "The end."]),
+])
+def test_short_stretches_stay(wrapper, before, after, lines):
+    page = wrapper.format(before + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + after)
+    story = [p.strip() for p in PARAGRAPHS]
+    assert html_text.main_text(page).split("\n") == [x for line in lines for x in ([line] if line else story)]
+
+
+def test_short_stretch_between_paragraphs_and_references():
+    notes = "".join(f"<li><a href={i}>Work number {i}</a></li>" for i in range(6))
+    block = "".join(f"<div><p>{p}</p></div>{MENU}<div><p>Short {i}.</p></div>{MENU}" for i, p in enumerate(PARAGRAPHS[:2]))
+    assert html_text.main_text(f"<body>{MENU}{block}<div><p>{PARAGRAPHS[2]}</p><ol>{notes}</ol></div>{MENU}<div>Far away</div></body>").split("\n") == [
+        PARAGRAPHS[0].strip(), "Short 0.", PARAGRAPHS[1].strip(), "Short 1.", PARAGRAPHS[2].strip(), *[f"Work number {i}" for i in range(6)]]
+
+
 @pytest.mark.parametrize("names", [
     "content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-banner", "elementor-widget", "site", "widget", "sidebar", "modal overlay", "banner",
 ])
