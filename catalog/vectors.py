@@ -234,7 +234,7 @@ def ann_recall(spark, sf):
 
 # What every approximate plan must keep: k hits for each query, exact similarities of what it
 # returns, and a share of the true neighbours.
-RECALL_FLOORS = {"cells": 0.5, "quantized": 0.9, "signatures": 0.9}
+RECALL_FLOORS = {"cells": 0.9, "quantized": 0.9, "signatures": 0.9}
 
 
 @query("ann_checks", f"""

@@ -173,3 +173,31 @@ def test_pca_and_kmeans(spark):
     by = {r["id"]: r["cluster"] for r in placed.collect()}
     assert [len({by[i] for i in range(g * 20, g * 20 + 20)}) for g in range(3)] == [1, 1, 1]
     assert figures["silhouette_cosine"] > 0.9
+
+
+@pytest.mark.parametrize("store", ["sf0.001", "sf0.1", "clustered"])
+def test_recall_at_defaults(spark, store):
+    from strandkit.plans.study import clustered_vectors
+    from strandkit.session import reliable_checkpoint
+
+    if store == "clustered":
+        df = reliable_checkpoint(clustered_vectors(spark, 6000))
+    else:
+        df = spark.read.parquet(f"/root/testdata/{store}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    exact = reliable_checkpoint(kn.knn(df, df, 10))
+    recalls = {f.__name__: float(mt.recall_at_k(exact, f(df, df, 10), 10).first()["recall_at_10"]) for f in (ann.cell_knn, ann.signature_knn)}
+    assert min(recalls.values()) >= 0.9
+
+
+def test_signatures_are_chosen_for_the_size():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.8 * a + 0.6 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (10**3, 10**5, 10**6, 10**8):
+        tables, bits = ann.choose_signatures((a, b), n, None, None)
+        p = (1 - np.arccos(0.8) / np.pi) ** bits
+        assert 1 - (1 - p) ** tables >= 0.9
+        assert tables * n / 2**bits <= n
