@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandkit.llm import bpe, html_text, licenses, mixing, pii, quality, simhash, suffixes, syncmers, warc
+from strandkit.llm import bpe, collisions, html_text, licenses, mixing, phrases, pii, quality, simhash, spelling, suffixes, syncmers, warc
 from strandkit.llm.common import documents
 
 
@@ -54,8 +54,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_bpe, op3_licenses, op4_html, op5_mixing, op6_simhash, op7_warc, op8_syncmers, op9_suffixes, op10_quality)
+    for f in (
+        op1_pii, op2_bpe, op3_licenses, op4_html, op5_mixing, op6_simhash, op7_warc, op8_syncmers, op9_suffixes, op10_quality,
+        op11_collisions, op12_phrases, op13_spelling,
+    )
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.sql(), "op5_mixing": mixing.SQL, "op10_quality": quality.SQL}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.sql(), "op5_mixing": mixing.SQL, "op10_quality": quality.SQL, "op12_phrases": phrases.SQL}
