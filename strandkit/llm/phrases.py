@@ -39,7 +39,7 @@ LONGEST = 4
 # First frontier: about so many times LIMIT phrases of two words; each further one is wider by WIDER.
 START, WIDER, ROUNDS = 2, 4, 3
 # Bits of a bitmap, and bytes of text counted at once.
-BITS, CHUNK_BYTES = 1 << 26, 24 << 20
+BITS, CHUNK_BYTES = 1 << 26, 4 << 20
 SLICES = 32
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 word, 1 space, 2 end of a piece
@@ -67,14 +67,14 @@ class Words:
         heads = offsets[:-1][offsets[:-1] < len(data)]
         first[heads] = inside[heads]  # a text begins a word
         starts = np.flatnonzero(first)
-        at = np.cumsum(inside)[starts] - 1 if len(starts) else np.zeros(0, dtype=np.int64)
+        at = np.cumsum(inside, dtype=np.int32)[starts] - 1 if len(starts) else np.zeros(0, dtype=np.int32)
         letters = _LOWER[data[inside]]
         ends = np.append(at, len(letters)).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
-        self.words, self.codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.words, self.codes = words.dictionary, words.indices.to_numpy()
         text = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(kind == 2)[starts] + text if len(starts) else np.zeros(0, dtype=np.int64)
-        self.langs, self.lang = langs.dictionary, langs.indices.to_numpy()[text].astype(np.int64)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + text if len(starts) else np.zeros(0, dtype=np.int64)
+        self.langs, self.lang = langs.dictionary, langs.indices.to_numpy()[text]
 
     def windows(self, n: int) -> np.ndarray:
         """First words of the phrases of n words."""
@@ -83,7 +83,7 @@ class Words:
 
     def count(self, at: np.ndarray, n: int) -> pa.RecordBatch:
         """(lang, phrase, f) of the phrases of n words that begin at these places."""
-        key, size = self.lang[at], len(self.langs) or 1
+        key, size = self.lang[at].astype(np.int64), len(self.langs) or 1
         for i in range(n):
             _, code = np.unique(self.codes[at + i], return_inverse=True)
             width = int(code.max(initial=0)) + 1
@@ -144,17 +144,31 @@ def _in(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 # -- passes over the texts -----------------------------------------------------------
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    texts, langs, size = [], [], 0
+def _cut(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in parts of ``size`` bytes and more, cut where a piece ends."""
+    while len(text) > size:
+        ends = np.flatnonzero(_KIND[np.frombuffer(text, dtype=np.uint8, offset=size)] == 2)
+        if not len(ends):
+            break
+        yield text[:size + int(ends[0])]
+        text = text[size + int(ends[0]) + 1:]
+    yield text
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[Words]:
+    """Texts of about ``size`` bytes at a time, so that a task's memory does not follow its batches."""
     for batch in batches:
-        texts.append(column_of(batch, "text"))
-        langs.append(column_of(batch, "lang"))
-        size += texts[-1].nbytes
-        if size >= CHUNK_BYTES:
-            yield Words(pa.concat_arrays(texts), pa.concat_arrays(langs))
-            texts, langs, size = [], [], 0
-    if texts:
-        yield Words(pa.concat_arrays(texts), pa.concat_arrays(langs))
+        text, lang = column_of(batch, "text"), column_of(batch, "lang")
+        place = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(place) else np.zeros(1, dtype=int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            some = text.slice(a, b - a)
+            if some.nbytes > 2 * size:  # one of them is long by itself
+                for i in range(b - a):
+                    for part in _cut((some[i].as_py() or "").encode(), size):
+                        yield Words(pa.array([part], pa.binary()).cast(pa.string()), lang.slice(a + i, 1))
+            else:
+                yield Words(some, lang.slice(a, b - a))
 
 
 def count_phrases(docs: DataFrame, n: int, sound: np.ndarray | None = None, frontier: np.ndarray | None = None) -> DataFrame:
