@@ -157,8 +157,9 @@ def compose(acc: Acceptor, left: np.ndarray, right: np.ndarray, shared: np.ndarr
     x, y = acc.roots[left], acc.roots[right]
     i, j = acc.base[left], acc.base[right]
     depth = 0
-    edited = [np.zeros(0, dtype=np.int64)] * 5  # states, word numbers, letter that must not come next
-    left_out, right_out = [], []
+    none = np.zeros(0, dtype=np.int64)
+    edited = [none] * 5  # states, word numbers, letter that must not come next
+    left_out, right_out = [none], [none]
     while len(x) or len(edited[0]):
         # with one edit made, both read the same letters
         ex, ey, ei, ej, ban = edited
