@@ -8,6 +8,7 @@ from catalog.base import query, table
 from strandkit.functions import vectors as fv
 from strandkit.operators import knn as kn
 from strandkit.operators import metrics as mt
+from strandkit.operators import ann
 from strandkit.operators.ann import cell_knn, quantized_knn, signature_knn
 from strandkit.operators.cluster import outlier_scores
 from strandkit.operators.lookup import hit_summaries, with_similarity
@@ -70,11 +71,20 @@ def vec_neighbors(spark, sf):
     return kn.knn(e, e, 10).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("vec_neighbors_pruned", f"""
+# Super-blocks of queries and lanes of the corpus, as for large tables.
+@query("vec_neighbors_grid", f"""
 WITH {E_SQL}, {hits_sql(10)} SELECT query_id, rank::INTEGER AS rank, id, round(s, 6) AS similarity FROM h""")
-def vec_neighbors_pruned(spark, sf):
+def vec_neighbors_grid(spark, sf):
     e = store(spark, sf)
-    return kn.knn(e, e, 10, strategy="pruned").withColumn("similarity", F.round("similarity", 6))
+    return kn.knn(e, e, 10, strategy="grid", block_rows=256).withColumn("similarity", F.round("similarity", 6))
+
+
+# Exact below 50,000 vectors, cells from there on.
+@query("vec_neighbors_auto", f"""
+WITH {E_SQL}, {hits_sql(7)} SELECT query_id, rank::INTEGER AS rank, id, round(s, 6) AS similarity FROM h""")
+def vec_neighbors_auto(spark, sf):
+    e = store(spark, sf)
+    return ann.neighbours(e, e, 7).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("vec_precision_at_k", f"""
@@ -204,32 +214,92 @@ def ann_cells_all_probed(spark, sf):
     return cell_knn(e, e, 10, n_cells=16, nprobe=16).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("ann_cells")
-def ann_cells(spark, sf):
+COPIES = 12
+
+
+def scattered(spark, sf):
+    """Each stored vector with ``COPIES`` neighbours of its own, so that the approximate plans have something
+    to leave out: copies moved a little by numbers hashed from (id, copy, dimension)."""
     e = store(spark, sf)
-    return cell_knn(e, e, 10)
+    copy = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy")
+    # the sum of four uniform numbers stands in for a normal one
+    noise = lambda i: sum((F.pmod(F.xxhash64("id", "copy", i, F.lit(s)), F.lit(1 << 20)) / float(1 << 20) - 0.5 for s in range(4)), F.lit(0.0))
+    moved = F.transform("vector", lambda x, i: (x + noise(i) * 0.06).cast("float"))
+    return e.select("id", "vector", copy).select((F.col("id") * COPIES + F.col("copy")).alias("id"), moved.alias("vector"))
+
+
+def kept_promises(e, hits, k: int):
+    """k hits for each query, exact similarities of what is returned, and 0.9 of the true neighbours."""
+    from strandkit.session import reliable_checkpoint
+
+    exact, hits = reliable_checkpoint(kn.knn(e, e, k)), reliable_checkpoint(hits)
+    pairs = hits.join(e.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(
+        e.select("id", F.col("vector").alias("c")), "id"
+    )
+    wrong = F.abs(fv.cosine(F.col("q"), F.col("c")) - F.col("similarity")) > 1e-6
+    counts = pairs.agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(wrong).alias("n_wrong"))
+    recall = mt.recall_at_k(exact, hits, k).select((F.col(f"recall_at_{k}") >= 0.9).alias("recall_holds"))
+    return mt.one_row(counts, recall)
+
+
+@query("ann_cells", f"""
+SELECT {COPIES} * count(*) AS n_stored, {COPIES * 10} * count(*) AS n_hits, 0::BIGINT AS n_wrong, true AS recall_holds, true AS few_cells FROM embeddings""")
+def ann_cells(spark, sf):
+    from strandkit.session import reliable_checkpoint
 
+    e = reliable_checkpoint(scattered(spark, sf))
+    # a tenth is added later, without training again
+    old, new = e.filter("id % 10 <> 3"), e.filter("id % 10 = 3")
+    index = ann.build_cells(old)
+    ann.add_to_cells(index, new)
+    settings = index.settings()
+    few = settings["nprobe"] < 0.2 * settings["n_cells"]
+    stored = index.read("vectors").agg(F.sum("n").alias("n_stored"))
+    return mt.one_row(stored, kept_promises(e, ann.search_cells(index, e, 10), 10)).withColumn("few_cells", F.lit(few))
 
-@query("ann_quantized")
+
+@query("ann_quantized", f"""
+SELECT {COPIES} * count(*) AS n_coded, 64 * {COPIES} * count(*) AS code_bytes, {COPIES * 10} * count(*) AS n_hits, 0::BIGINT AS n_wrong, true AS recall_holds FROM embeddings""")
 def ann_quantized(spark, sf):
-    e = store(spark, sf)
-    return quantized_knn(e, e, 10)
+    from strandkit.session import reliable_checkpoint
+
+    e = reliable_checkpoint(scattered(spark, sf))
+    index = ann.build_cells(e)
+    ann.build_codes(index)
+    coded = index.read("codes").agg(F.sum("n").alias("n_coded"), F.sum(F.length("codes")).alias("code_bytes"))
+    return mt.one_row(coded, kept_promises(e, ann.search_codes(index, e, 10), 10))
 
 
-@query("ann_signatures")
+@query("ann_signatures", f"""
+SELECT {COPIES} * count(*) AS n_stored, true AS has_bits, true AS few_pairs, {COPIES * 10} * count(*) AS n_hits, 0::BIGINT AS n_wrong, true AS recall_holds FROM embeddings""")
 def ann_signatures(spark, sf):
+    from strandkit.session import reliable_checkpoint
+
+    e = reliable_checkpoint(scattered(spark, sf))
+    index = ann.build_signatures(e)
+    settings = index.settings()
+    found = ann.search_signatures(index, e, 10)
+    stored = index.read("vectors").agg(F.sum("n").alias("n_stored")).withColumn("has_bits", F.lit(settings["bits"] > 0))
+    stored = stored.withColumn("few_pairs", F.lit(found.n_pairs < 0.8 * settings["n"] ** 2))
+    return mt.one_row(stored, kept_promises(e, found.hits, 10))
+
+
+# A reach of 1 makes the margins a proof: the result is exact.
+@query("ann_signatures_exact", f"""
+WITH {E_SQL}, {hits_sql(10)} SELECT query_id, rank::INTEGER AS rank, id, round(s, 6) AS similarity FROM h""")
+def ann_signatures_exact(spark, sf):
     e = store(spark, sf)
-    return signature_knn(e, e, 10)
+    index = ann.build_signatures(e, bits=4)
+    return ann.search_signatures(index, e, 10, reach=1.0).hits.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("ann_recall")
+@query("ann_recall", f"""
+SELECT plan, {COPIES} * count(*) AS n_vectors, true AS recall_holds, true AS timed FROM embeddings, (VALUES ('exact'), ('cells'), ('quantized'), ('signatures')) AS p(plan) GROUP BY plan""")
 def ann_recall(spark, sf):
-    from strandkit.session import reliable_checkpoint
+    from strandkit.plans.study import recall_study
 
-    e = store(spark, sf)
-    exact = reliable_checkpoint(kn.knn(e, e, 10))
-    name = lambda n, df: mt.recall_at_k(exact, df, 10).withColumn("plan", F.lit(n))
-    return name("cells", cell_knn(e, e, 10)).unionByName(name("signatures", signature_knn(e, e, 10)))
+    out = recall_study(scattered(spark, sf), 10, n_queries=500)
+    return out.select("plan", "n_vectors", (F.col("recall_at_10") >= 0.9).alias("recall_holds"), ((F.col("qps") > 0) & (F.col("share_met") <= 1)).alias("timed"))
 
 
 # What every approximate plan must keep: k hits for each query, exact similarities of what it
@@ -389,3 +459,13 @@ SELECT batch, round(coalesce(-avg(mp - lse), 0), 6) AS loss FROM a GROUP BY batc
 def contrastive_loss(spark, sf):
     e = store(spark, sf).withColumn("batch", F.floor(F.col("id") / 32))
     return mt.contrastive_loss(e, "batch", "id", "label", "vector").withColumn("loss", F.round("loss", 6))
+
+
+# One batch of all vectors: its pairs are met block by block.
+@query("contrastive_loss_whole", f"""
+WITH {E_SQL}, s AS (SELECT x.id AS i, (x.label = y.label) AS pos, list_cosine_similarity(x.v, y.v) / 0.1 AS s FROM e x JOIN e y ON x.id <> y.id),
+a AS (SELECT i, ln(sum(exp(s - 10))) + 10 AS lse, avg(s) FILTER (pos) AS mp FROM s GROUP BY i)
+SELECT 'all' AS batch, round(coalesce(-avg(mp - lse), 0), 6) AS loss FROM a""")
+def contrastive_loss_whole(spark, sf):
+    e = store(spark, sf).withColumn("batch", F.lit("all"))
+    return mt.contrastive_loss(e, "batch", "id", "label", "vector", block_rows=200).withColumn("loss", F.round("loss", 6))

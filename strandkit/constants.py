@@ -97,6 +97,8 @@ EPSILON = 1e-12
 EMBEDDING_VERSION = "1"
 POOLINGS = ("mean", "max", "bos", "attention")
 APPROXIMATE_FROM = 50_000
+# numbers of subspaces of a quantizer; the first that divides the dimension is taken
+SUBSPACES = (64, 48, 32, 24, 16, 8, 4, 2, 1)
 LINK_THRESHOLD = 0.5
 LINK_K = 5
 SPLIT_NAMES = ("train", "val", "test")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandkit import constants as C
 from strandkit.functions import columns as fc
 from strandkit.operators.embed import Encoder, embed
+from strandkit.operators.ann import neighbours
 from strandkit.operators.knn import knn, neighbours_of
 from strandkit.operators.lookup import hit_summaries
 from strandkit.operators.pooling import region_pool
@@ -22,9 +23,11 @@ def check_k(k: int) -> None:
 def search(
     store: DataFrame, corpus: DataFrame, columns: list[str], k: int = 10, ident: str = "accession",
     ids: DataFrame | None = None, sequences: DataFrame | None = None, encoder: Encoder | None = None,
-    pooling: str = "mean", lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS,
+    pooling: str = "mean", lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS, backend: str = "auto",
 ) -> DataFrame:
-    """Hits of stored ids or of new sequences (id, sequence), exactly one of both."""
+    """Hits of stored ids or of new sequences (id, sequence), exactly one of both.
+
+    The backend of new sequences is chosen by the size of the store unless it is named."""
     check_k(k)
     if (ids is None) == (sequences is None):
         raise ValueError("give either ids or sequences")
@@ -32,7 +35,7 @@ def search(
         hits = neighbours_of(ids.select(F.col(ident).alias("id")), store, k)
     else:
         vectors = embed(sequences, encoder, "id", "sequence", (pooling,), lengths=lengths, alphabet=alphabet)
-        hits = knn(vectors, store, k, exclude_self=False)
+        hits = neighbours(vectors, store, k, backend=backend, exclude_self=False)
     return hit_summaries(hits, corpus, ident, columns)
 
 

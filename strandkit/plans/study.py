@@ -12,7 +12,7 @@ from strandkit import constants as C
 from strandkit.functions import vectors as fv
 from strandkit.operators import metrics as mt
 from strandkit.operators.align import Aligner, pair_identity
-from strandkit.operators.ann import cell_knn, quantized_knn, signature_knn
+from strandkit.operators import ann
 from strandkit.operators.cluster import kmeans_clusters, map_coordinates, outlier_scores
 from strandkit.operators.embed import Encoder, embed
 from strandkit.operators.groups import group_statistics
@@ -129,27 +129,58 @@ def pair_study_summary(study: DataFrame) -> DataFrame:
 
 # -- approximate search ---------------------------------------------------------
 
+def folder_bytes(spark, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def recall_study(store: DataFrame, k: int = 10, n_queries: int = 1000, seed: int = 42, regime: str = "stored") -> DataFrame:
-    """Recall@k, seconds and queries per second of each search plan."""
+    """Per search plan: seconds to build, bytes stored, queries per second, recall@k, and the share of
+    cells or pairs that a query meets."""
     spark = store.sparkSession
+    store = reliable_checkpoint(store)
     queries = reliable_checkpoint(downsample(store, n_queries, "id", seed))
     n_q, n = queries.count(), store.count()
+    cells, signs = [], []
+
+    def build_cells() -> str:
+        cells.append(ann.build_cells(store, k=k, seed=seed))
+        return f"{cells[0].path}/vectors"
+
+    def build_codes() -> str:
+        ann.build_codes(cells[0], seed=seed)
+        return f"{cells[0].path}/codes"
+
+    def build_signatures() -> str:
+        signs.append(ann.build_signatures(store, k=k, seed=seed))
+        return f"{signs[0].path}/vectors"
+
+    def visited(index) -> float:
+        return index.settings()["nprobe"] / index.settings()["n_cells"]
+
+    def by_signatures():
+        found = ann.search_signatures(signs[0], queries, k)
+        return found.hits, found.n_pairs / max(n_q * n, 1)
+
     plans = {
-        "exact": lambda: knn(queries, store, k),
-        "cells": lambda: cell_knn(queries, store, k, seed=seed),
-        "quantized": lambda: quantized_knn(queries, store, k, seed=seed),
-        "signatures": lambda: signature_knn(queries, store, k, seed=seed),
+        "exact": (None, lambda: (knn(queries, store, k), 1.0)),
+        "cells": (build_cells, lambda: (ann.search_cells(cells[0], queries, k), visited(cells[0]))),
+        "quantized": (build_codes, lambda: (ann.search_codes(cells[0], queries, k), visited(cells[0]))),
+        "signatures": (build_signatures, by_signatures),
     }
     found, rows = {}, []
-    for name, plan in plans.items():
+    for name, (build, search) in plans.items():
         start = time.monotonic()
-        result = plan()
+        size = folder_bytes(spark, build()) if build else 0
         built = time.monotonic() - start
-        found[name] = reliable_checkpoint(result)
-        spent = time.monotonic() - start
+        hits, share = search()
+        found[name] = reliable_checkpoint(hits)
+        spent = time.monotonic() - start - built
         recall = mt.recall_at_k(found["exact"], found[name], k).first()[f"recall_at_{k}"]
-        rows.append((regime, name, n, round(built, 2), round(n_q / max(spent - built, 1e-9), 1), round(float(recall), 4)))
-    return spark.createDataFrame(rows, f"regime string, plan string, n_vectors long, build_s double, qps double, recall_at_{k} double")
+        rows.append((regime, name, n, round(built, 2), size, round(n_q / max(spent, 1e-9), 1), round(float(recall), 4), round(share, 4)))
+    return spark.createDataFrame(
+        rows, f"regime string, plan string, n_vectors long, build_s double, stored_bytes long, qps double, recall_at_{k} double, share_met double"
+    )
 
 
 def clustered_vectors(spark, n: int, dim: int = 64, centres: int = 256, spread: float = 0.3, seed: int = 42) -> DataFrame:

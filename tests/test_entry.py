@@ -9,7 +9,7 @@ from tools.check import rows_of
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [
-    "vec_precision_at_k", "vec_neighbors_pruned", "metric_nmi", "metric_auroc", "metric_spearman", "corpus_derive", "corpus_manifest",
+    "vec_precision_at_k", "vec_neighbors_grid", "metric_nmi", "metric_auroc", "metric_spearman", "corpus_derive", "corpus_manifest",
     "sample_cap_group", "sample_batches", "kmer_jaccard", "group_tokens", "pool_attention", "variant_effects", "traj_path",
     "text_lookup", "pair_compare", "report_headline",
 ]

@@ -39,7 +39,7 @@ def planted():
     return m
 
 
-@pytest.mark.parametrize("strategy", ["grid", "pruned"])
+@pytest.mark.parametrize("strategy", ["grid", "broadcast"])
 def test_all_pairs_match_brute_force(spark, planted, strategy):
     df = frame(spark, planted)
     hits = kn.knn(df, df, 5, strategy=strategy, block_rows=32)
@@ -55,12 +55,37 @@ def test_broadcast_and_unknown_ids(spark, planted):
         kn.neighbours_of(spark.createDataFrame([(777,)], "id long"), df, 3)
 
 
-def test_clustered_data_is_pruned_exactly(spark):
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, 12)) * 6
-    m = np.vstack([c + rng.normal(size=(60, 12)) * 0.1 for c in centres])
-    df = frame(spark, m)
-    assert as_lists(kn.knn(df, df, 3, strategy="pruned", block_rows=16)) == brute(m, range(len(m)), 3)
+@pytest.mark.parametrize("tasks", [1, 7, 40])
+def test_super_blocks_and_lanes(spark, planted, tasks):
+    df = frame(spark, planted)
+    assert as_lists(kn.knn(df, df, 5, strategy="grid", block_rows=16, tasks=tasks)) == brute(planted, range(150), 5)
+    some = df.filter("id % 3 = 0")
+    assert as_lists(kn.knn(some, df, 5, strategy="grid", block_rows=16, tasks=tasks)) == brute(planted, range(0, 150, 3), 5)
+
+
+def test_each_side_is_read_once(spark, planted):
+    """A grid of many tasks evaluates its inputs once; a table searched among itself is one input."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = frame(spark, planted).select("id", "vector").mapInArrow(counted, "id long, vector array<double>")
+    kn.knn(df, df, 5, strategy="grid", block_rows=16, tasks=20).count()
+    assert reads.value == 150
+    kn.knn(df.filter("id < 30"), df, 5, strategy="grid", block_rows=16, tasks=20).count()
+    assert reads.value == 3 * 150
+
+
+def test_grid_shape():
+    for n_q, n_c, tasks in ((10, 10, 1), (60_000, 60_000, 64), (10**6, 10**8, 1000), (10**8, 10**6, 1000), (5, 10**9, 500)):
+        supers, lanes = kn.grid_shape(n_q, n_c, 64, tasks)
+        assert supers * lanes >= tasks and supers * lanes * kn.TASK_PAIRS >= n_q * n_c / 2
+        assert n_q * 64 * 8 / supers <= kn.SUPER_BYTES
+    # 60,000 rows among themselves in 64 tasks: 8 x 8, so each side is sent 8 times: 2 x 8 x 60,000 x 264 bytes = 253 MB
+    assert kn.grid_shape(60_000, 60_000, 64, 64) == (8, 8)
 
 
 def test_partitioning_and_scale_do_not_matter(spark, planted):
@@ -102,20 +127,76 @@ def test_approximate_recall(spark):
 def test_thin_buckets_still_give_k_hits(spark):
     rng = np.random.default_rng(6)
     df = frame(spark, rng.normal(size=(200, 16)))
-    hits = ann.signature_knn(df, df, 5, tables=2, bits=12).groupBy("query_id").count().collect()
+    hits = ann.signature_knn(df, df, 5, bits=12).groupBy("query_id").count().collect()
     assert len(hits) == 200 and {r["count"] for r in hits} == {5}
 
 
-def test_codes_are_small(spark):
+def test_buckets_come_in_order_of_margins():
+    margins = np.array([0.5, -0.1, 0.3, 0.2])
+    found = list(ann.probe_order(margins))
+    assert sorted(f for _, f in found) == list(range(16)) and [c for c, _ in found] == sorted(c for c, _ in found)
+    assert all(abs(c - sum(m * m for b, m in enumerate(margins) if f >> b & 1)) < 1e-12 for c, f in found)
+    d = ann.planes(24, 10, 1)
+    assert np.allclose(d.T @ d, np.eye(10))
+
+
+def test_full_reach_is_exact(spark, planted):
+    df = frame(spark, planted)
+    index = ann.build_signatures(df, bits=5, block_rows=16)
+    assert as_lists(ann.search_signatures(index, df, 5, reach=1.0).hits) == brute(planted, range(150), 5)
+
+
+def test_cells_are_stored_and_extended(spark, planted):
+    df = frame(spark, planted)
+    index = ann.build_cells(df.filter("id < 100"), n_cells=8, block_rows=16)
+    # vectors far from all others open cells that had no rows
+    ann.add_to_cells(index, df.filter("id >= 100"))
+    stored = [i for r in index.read("vectors").collect() for i in r["ids"]]
+    assert sorted(stored) == list(range(150))
+    again = ann.Cells(spark, index.path)  # a search needs the folder only
+    assert as_lists(ann.search_cells(again, df, 5, nprobe=8)) == brute(planted, range(150), 5)
+
+
+def test_search_scans_the_shelves_it_needs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 4
+    df = frame(spark, np.vstack([c + rng.normal(size=(25, 16)) * 0.1 for c in centres]))
+    monkeypatch.setattr(ann, "SHELF_ROWS", 50)
+    index = ann.build_cells(df, n_cells=40)
+    n_shelves = index.read("vectors").select("shelf").distinct().count()
+    hits = ann.search_cells(index, df.filter("id = 3"), 5, nprobe=2)
+    plan = hits._jdf.queryExecution().toString()
+    listed = [line for line in plan.splitlines() if "PartitionFilters" in line and "shelf" in line]
+    assert n_shelves >= 10 and any("shelf#" in line and " IN (" in line or "shelf#" in line and " = " in line for line in listed)
+    assert hits.count() == 5
+
+
+def test_codes_scan_builds_no_vectors(spark, planted, monkeypatch):
     rng = np.random.default_rng(2)
-    m = rng.normal(size=(300, 64))
-    df = frame(spark, m)
-    books = ann.train_codebooks(df, "vector", 16, codes=32, rounds=2)
-    coded = ann.quantize(df, books, "id", "vector").first()
-    assert len(coded["codes"]) == 16 and max(coded["codes"]) < 32
+    units = kn.unit_rows(rng.normal(size=300 * 64), 300)
+    books = np.stack([units[:32, s * 4:(s + 1) * 4] for s in range(16)])
+    codes = ann.encode(units, books)
+    assert codes.dtype == np.uint8 and codes.shape == (300, 16) and codes.max() < 32
+    decoded = books[np.arange(16)[None, :], codes].reshape(300, 64)
+    got = ann.table_scores(units[:7], books, codes, np.zeros(7))
+    assert np.allclose(got, units[:7] @ decoded.T)
+    # what a scan holds per stored vector are its m bytes; the tables of a query have m x 256 numbers
+    df = frame(spark, planted)
+    index = ann.build_cells(df, n_cells=4)
+    ann.build_codes(index, m=6)
+    assert index.read("codes").columns == ["cell", "sub", "n", "ids", "codes", "shelf"]
+    assert index.read("codes").agg(F.sum(F.length("codes"))).first()[0] == 150 * 6
+    scan = ann._code_hits(index, df.select("id", F.col("vector").cast("array<float>").alias("vec")), 4, 10, True)
+    assert "flat" not in scan._jdf.queryExecution().optimizedPlan().toString().replace("q_flat", "")
+    hits = ann.search_codes(index, df, 5, nprobe=4, rerank=30)
+    assert as_lists(hits) == brute(planted, range(150), 5)
 
 
-def test_backend_choice():
+def test_backend_choice(spark, planted):
+    df = frame(spark, planted)
+    assert as_lists(ann.neighbours(df, df, 3)) == brute(planted, range(150), 3)
+    with pytest.raises(ValueError):
+        ann.neighbours(df, df, 3, backend="graph")
     assert kn.auto_backend(49_999) == "exact" and kn.auto_backend(50_000) == "approximate"
 
 
@@ -187,17 +268,3 @@ def test_recall_at_defaults(spark, store):
     exact = reliable_checkpoint(kn.knn(df, df, 10))
     recalls = {f.__name__: float(mt.recall_at_k(exact, f(df, df, 10), 10).first()["recall_at_10"]) for f in (ann.cell_knn, ann.signature_knn)}
     assert min(recalls.values()) >= 0.9
-
-
-def test_signatures_are_chosen_for_the_size():
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(400, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.normal(size=a.shape)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = 0.8 * a + 0.6 * b / np.linalg.norm(b, axis=1, keepdims=True)
-    for n in (10**3, 10**5, 10**6, 10**8):
-        tables, bits = ann.choose_signatures((a, b), n, None, None)
-        p = (1 - np.arccos(0.8) / np.pi) ** bits
-        assert 1 - (1 - p) ** tables >= 0.9
-        assert tables * n / 2**bits <= n
