@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandkit import constants as C
+from strandkit.operators.containment import containment_pairs
 from strandkit.operators.kmers import best_match, similar_sequences
 from strandkit.operators.metrics import one_row
-from strandkit.session import reliable_checkpoint
+from strandkit.session import drop_table, reliable_checkpoint
 
 MAX_ROUNDS = 60
 
@@ -42,8 +43,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(lows.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        # the written edge set is compared by count and hash sum
-        current = reliable_checkpoint(small)
+        # the written edge set is compared by count and hash sum; the round before is read
+        # for the last time when this one is written
+        before, current = current, reliable_checkpoint(small)
+        drop_table(before)
         seen = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
@@ -67,17 +70,28 @@ def annotation_tokens(family: Column, domains: Column) -> Column:
 
 
 def token_groups(df: DataFrame, ident: str, tokens: str) -> DataFrame:
-    """(id, group_id) of the rows that carry tokens.
+    """(id, group_id) of the rows that carry tokens; a group is named by its smallest token.
 
-    The graph has one node per distinct token; rows only contribute the distinct
-    edges from their first token to the others and read their group by one lookup.
+    Tokens may be long texts, so the graph has one number per distinct token.  Numbers are
+    dealt once, by place in a written table; rows only contribute the distinct edges from
+    their first token to the others, and read their group by one lookup.
     """
-    rows = df.filter(F.size(tokens) > 0).select(ident, F.get(tokens, F.lit(0)).alias("t0"), F.col(tokens).alias("ts"))
-    edges = rows.select(F.col("t0").alias("a"), F.explode("ts").alias("b")).distinct()
+    rows = df.filter(F.size(tokens) > 0).select(F.col(ident).alias("__id"), F.col(tokens).alias("ts"))
+    # a row's tokens by digest: only the table of distinct tokens holds texts
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    marked = reliable_checkpoint(rows.select("__id", F.transform("ts", digest).alias("ds")))
+    texts = rows.select(F.explode("ts").alias("token")).distinct()
+    numbered = reliable_checkpoint(texts.select(digest(F.col("token")).alias("d"), "token").withColumn("n", F.monotonically_increasing_id()))
+    links = marked.select(F.get("ds", F.lit(0)).alias("d0"), F.explode("ds").alias("d")).distinct()
+    number = numbered.select("d", "n")
+    edges = links.join(number, "d").select("d0", F.col("n").alias("b")).join(
+        number.select(F.col("d").alias("d0"), F.col("n").alias("a")), "d0"
+    ).select("a", "b")
     parts = connected_components(edges)
-    return rows.select(ident, "t0").join(parts, F.col("t0") == F.col("node")).select(
-        ident, F.col("component").alias("group_id")
-    )
+    named = numbered.join(parts, F.col("n") == F.col("node")).select("d", "token", "component")
+    names = named.groupBy("component").agg(F.min("token").alias("group_id"))
+    placed = named.join(names, "component").select(F.col("d").alias("d0"), "group_id")
+    return marked.select("__id", F.get("ds", F.lit(0)).alias("d0")).join(placed, "d0").select(F.col("__id").alias(ident), "group_id")
 
 
 def assign_groups(
@@ -102,21 +116,13 @@ def assign_groups(
     return grouped.select("id", "group_id", F.lit("annotated").alias("kind")).unionByName(linked).unionByName(own)
 
 
-def similarity_groups(
-    df: DataFrame, ident: str, seq: str, k: int, threshold: float, coverage: float | None = None
-) -> DataFrame:
+def similarity_groups(df: DataFrame, ident: str, seq: str, k: int, threshold: float) -> DataFrame:
     """(id, group_id): components over sequence pairs at the Jaccard threshold.
 
-    With ``coverage`` the shorter of two sequences must reach that share of the
-    longer one.  Copies are one node; a group is named by its smallest row id.
+    Copies are one node; a group is named by its smallest row id.
     """
     rows = df.select(F.col(ident).alias("id"), F.col(seq).alias("seq"))
     near, members = similar_sequences(rows.filter("seq is not null"), None, k, threshold)
-    if coverage is not None:
-        lengths = members.join(rows.select("id", F.length("seq").alias("len")), "id").groupBy("key").agg(F.max("len").alias("len"))
-        a = lengths.select(F.col("key").alias("ka"), F.col("len").alias("la"))
-        b = lengths.select(F.col("key").alias("kb"), F.col("len").alias("lb"))
-        near = near.join(a, "ka").join(b, "kb").filter(F.least("la", "lb") >= F.greatest("la", "lb") * coverage)
     parts = connected_components(near, "ka", "kb")
     placed = members.join(parts, F.col("key") == F.col("node"), "left").select(
         "id", F.coalesce("component", "key").alias("part")
@@ -130,12 +136,18 @@ def similarity_groups(
 def identity_groups(
     df: DataFrame, ident: str, seq: str, k: int = 5, threshold: float = 0.3, coverage: float = 0.8
 ) -> DataFrame:
-    """(id, group_id) by shared k-mers instead of annotations.
+    """(id, group_id) by shared windows instead of annotations: components over pairs of which the
+    longer one contains ``threshold`` of the shorter one's windows, along ``coverage`` of its
+    length, and is not longer than 1 / ``coverage`` times.
 
-    This stands in for clustering by alignment identity (30 % identity, 80 %
-    coverage) and is not equal to it.
+    This stands in for clustering by alignment identity (30 % identity, 80 % coverage) and is
+    not equal to it.  A group is named by its smallest id; rows without text, and rows too
+    short for one window, stay alone (copies of such a text together).
     """
-    return similarity_groups(df, ident, seq, k, threshold, coverage)
+    pairs, members = containment_pairs(df, ident, seq, k, threshold, coverage)
+    parts = connected_components(pairs, "a", "b")
+    placed = members.join(parts, F.col("key") == F.col("node"), "left").select("id", F.coalesce("component", "key").alias("group_id"))
+    return df.select(F.col(ident).alias("id")).join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def group_statistics(groups: DataFrame, group: str = "group_id", kind: str | None = "kind") -> DataFrame:

@@ -74,6 +74,16 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``reliable_checkpoint`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    folder = checkpoint_folder(spark)
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if name.rsplit("/", 1)[-1].startswith("table-") and name.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") == folder.split(":", 1)[-1].lstrip("/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits_broadcast(n_rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     return n_rows * bytes_per_row <= limit
 
