@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import alignment_sql, query, table
 from catalog.vectors import residues, store
 from strandkit import constants as C
 from strandkit.functions import columns as fc
@@ -455,7 +455,15 @@ def traj_mutations(spark, sf):
     return summary.select("id", "n_steps", F.round("path_length", 6).alias("path_length"))
 
 
-@query("pair_identity")
+# Random pairs as ``random_pairs`` draws them: the first 400 distinct ones of doubled draws.
+@query("pair_identity", f"""
+WITH RECURSIVE {S_SQL}, n AS (SELECT id, s, row_number() OVER (ORDER BY md5('42|' || id), id) AS r, count(*) OVER () AS n FROM s),
+d AS (SELECT range AS d, ('0x' || substr(md5('42|' || range || '|a'), 1, 15))::BIGINT % (SELECT count(*) FROM s) + 1 AS i,
+  ('0x' || substr(md5('42|' || range || '|b'), 1, 15))::BIGINT % (SELECT count(*) FROM s) + 1 AS j FROM range(800)),
+p AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM d WHERE i <> j GROUP BY ALL ORDER BY min(d) LIMIT 400),
+q AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CASE WHEN x.id < y.id THEN x.s ELSE y.s END AS sa, CASE WHEN x.id < y.id THEN y.s ELSE x.s END AS sb
+  FROM p JOIN n x ON x.r = p.i JOIN n y ON y.r = p.j), {alignment_sql('q')}
+SELECT a, b, round(identity, 4) AS identity FROM ai""")
 def alignments(spark, sf):
     rows = names(spark, sf)
     pairs = random_pairs(rows, "id", 400)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import alignment_sql, query, table
 from catalog.effects import LETTERS, assay_tables, names
 from catalog.samples import with_hashed_split
 from catalog.vectors import E_SQL, hits_sql, store
@@ -67,25 +67,31 @@ def row_profile(spark, sf):
     )
 
 
-@query("pair_compare", """
-WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, ['t' || label, 'u' || (vec_id % 3), 'w' || (vec_id % 5)] AS ts FROM embeddings)
+@query("pair_compare", f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, ['t' || label, 'u' || (vec_id % 3), 'w' || (vec_id % 5)] AS ts,
+  CASE WHEN vec_id % 50 = 0 THEN '' ELSE upper(translate(substr(md5('' || vec_id // 3), 1, 20), '0123456789', 'GHIKLMNPQR')) END AS s FROM embeddings),
+o AS (SELECT o_custkey AS id, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS d FROM orders GROUP BY o_custkey),
+q AS (SELECT a.id AS a, b.id AS b, a.s AS sa, b.s AS sb FROM e a JOIN e b ON b.id = a.id + 7), {alignment_sql('q')}
 SELECT a.id AS a, b.id AS b, a.label = b.label AS same_family, array_to_string(list_sort(list_intersect(a.ts, b.ts)), ',') AS shared,
-  round(list_cosine_similarity(a.v, b.v), 4) AS cosine_mean, round(list_cosine_similarity(a.v, list_reverse(b.v)), 4) AS cosine_mixed
-FROM e a JOIN e b ON b.id = a.id + 7""")
+  round(list_cosine_similarity(a.v, b.v), 4) AS cosine_mean, round(list_cosine_similarity(a.v, list_reverse(a.v)), 4) AS cosine_self, round(ai.identity, 4) AS identity,
+  coalesce(x.d, '') AS a_domains, coalesce(y.d, '') AS b_domains
+FROM e a JOIN e b ON b.id = a.id + 7 JOIN ai ON ai.a = a.id AND ai.b = b.id LEFT JOIN o x ON x.id = a.id LEFT JOIN o y ON y.id = b.id""")
 def pair_compare(spark, sf):
     e = store(spark, sf)
-    corpus = e.select("id", "label", F.array(
+    key = F.substring(F.md5(F.floor(F.col("id") / 3).cast("string")), 1, 20)
+    sequence = F.when(F.col("id") % 50 == 0, F.lit("")).otherwise(F.upper(F.translate(key, "0123456789", "GHIKLMNPQR")))
+    corpus = e.select("id", "label", sequence.alias("sequence"), F.array(
         F.concat(F.lit("t"), F.col("label").cast("string")), F.concat(F.lit("u"), (F.col("id") % 3).cast("string")),
         F.concat(F.lit("w"), (F.col("id") % 5).cast("string")),
     ).alias("tokens"))
     pairs = e.select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
     poolings = e.select("id", F.lit("mean").alias("pooling"), "vector")
-    out = lo.compare_pairs(pairs, corpus, poolings, "id", "label", "tokens", ["mean"])
-    # a second pooling whose vectors of one side are reversed
-    mixed = pairs.join(e.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(
-        e.select(F.col("id").alias("b"), F.reverse("vector").alias("vb")), "b"
-    ).select("a", "b", F.round(fv.cosine(F.col("va"), F.col("vb")), 4).alias("cosine_mixed"))
-    return out.join(mixed, ["a", "b"]).withColumn("shared", F.concat_ws(",", "shared"))
+    orders = table(spark, sf, "orders")
+    domains = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("end"), F.col("o_orderstatus").alias("name"))
+    out = lo.compare_pairs(pairs, corpus, poolings, "id", "label", "tokens", ["mean"], "sequence", domains)
+    own = e.select(F.col("id").alias("a"), F.round(fv.cosine(F.col("vector"), F.reverse("vector")), 4).alias("cosine_self"))
+    shown = lambda c: F.concat_ws(",", F.transform(c, lambda d: F.concat(d["start"].cast("string"), F.lit(":"), d["name"])))
+    return out.join(own, "a").withColumns({"shared": F.concat_ws(",", "shared"), "a_domains": shown("a_domains"), "b_domains": shown("b_domains")})
 
 
 @query("join_with_split", """
@@ -201,13 +207,6 @@ def benchmark_suite(spark, sf):
     return st.benchmark_suite({"stored": e.select("id", "vector")}, labels, {"label": 10}, ["label"], "label", 10)
 
 
-@query("pair_study")
-def pair_study(spark, sf):
-    rows = names(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_type"), "id")
-    vectors = composition(rows, "id", "sequence", LETTERS)
-    return st.pair_study_summary(st.pair_study(rows, vectors, "id", "sequence", "p_type", 400))
-
-
 @query("split_comparison")
 def split_comparison(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sequence"), "p_type", "p_brand")

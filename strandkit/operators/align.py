@@ -1,7 +1,16 @@
-"""Global alignment identity over a table of sequence pairs."""
+"""Global alignment identity over a table of sequence pairs.
+
+Of all alignments with the best score the one with the most matches counts, and of those the
+shortest.  Score, matches and length of a cell are one number, ordered in this way, and
+every step of an alignment adds to it.  The recurrence over these numbers therefore ends
+with the answer: it keeps one row of cells, and no path has to be found again.  Pairs of
+similar length are filled together, one row of all of them at a time.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +18,9 @@ from pyspark.sql import functions as F
 
 from strandkit.constants import BLOSUM62
 
-LOW = -(10 ** 9)
+LOW = -(1 << 62)
+# Cells of a row that are filled together.
+ROW_CELLS = 1 << 16
 
 
 def score_matrix(text: str = BLOSUM62) -> dict[tuple[str, str], int]:
@@ -24,7 +35,7 @@ def score_matrix(text: str = BLOSUM62) -> dict[tuple[str, str], int]:
 
 
 class Aligner:
-    """Affine-gap global alignment, one vectorized pass per row of the table."""
+    """Affine-gap global alignment of many pairs at once."""
 
     def __init__(self, scores: dict[tuple[str, str], int] | None = None, gap_open: int = -11, gap_extend: int = -1,
                  match: int = 4, mismatch: int = -4) -> None:
@@ -32,68 +43,92 @@ class Aligner:
         self.gap_open, self.gap_extend = gap_open, gap_extend
         self.match, self.mismatch = match, mismatch
 
-    def _pair_scores(self, a: str, b: str) -> np.ndarray:
-        sa, sb = sorted(set(a)), sorted(set(b))
-        small = np.array([
-            [self.scores.get((x, y), self.match if x == y else self.mismatch) for y in sb] for x in sa
-        ])
-        ia = np.searchsorted(sa, list(a))
-        ib = np.searchsorted(sb, list(b))
-        return small[np.ix_(ia, ib)]
-
-    def fill(self, a: str, b: str) -> tuple[np.ndarray, list[int]]:
-        """Source codes of every cell and the three end scores.
-
-        States: 0 match, 1 gap in b, 2 gap in a.  One byte per cell holds where
-        each state came from, two bits per state; scores keep one row only.
-        """
-        n, m = len(a), len(b)
-        pair = self._pair_scores(a, b)
-        o, e = self.gap_open, self.gap_extend
-        steps = e * np.arange(m + 1)
-        M, X = np.full(m + 1, LOW, dtype=np.int64), np.full(m + 1, LOW, dtype=np.int64)
-        M[0] = 0
-        Y = np.r_[LOW, o + steps[:-1]]
-        codes = np.zeros((n + 1, m + 1), dtype=np.uint8)
-        codes[0, 2:] = 2 << 4
-        for i in range(1, n + 1):
-            source = np.where((M >= X) & (M >= Y), 0, np.where(X >= Y, 1, 2))
+    def _table(self, symbols: list[str]) -> np.ndarray:
+        return np.array([
+            [self.scores.get((x, y), self.match if x == y else self.mismatch) for y in symbols] for x in symbols
+        ], dtype=np.int64).reshape(len(symbols), len(symbols))
+
+    def _base(self, symbols: np.ndarray, longest: int) -> int:
+        """Digits of a cell's number: length and matches stay below it."""
+        base = longest + 2
+        most = max(int(np.abs(symbols).max(initial=1)), abs(self.gap_open), abs(self.gap_extend), 1)
+        if most * base * base * base >= 1 << 61:
+            raise ValueError(f"sequences of together {longest} symbols are too long to align")
+        return base
+
+    def align(self, pairs: list[tuple[str, str]]) -> list[tuple[int, int, int]]:
+        """(score, matches, length) of each pair, filled together."""
+        symbols = sorted({c for a, b in pairs for c in a + b})
+        place = {c: i for i, c in enumerate(symbols)}
+        table = self._table(symbols)
+        rows, width = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+        base = self._base(table, max(len(a) + len(b) for a, b in pairs))
+        step = lambda score: score * base * base - 1  # one column of the alignment
+        o, e = step(self.gap_open), step(self.gap_extend)
+        paired = table * (base * base) - 1 + base * np.eye(len(symbols), dtype=np.int64)
+        left = np.zeros((len(pairs), rows), dtype=np.int64)
+        right = np.zeros((len(pairs), width), dtype=np.int64)
+        for i, (a, b) in enumerate(pairs):
+            left[i, :len(a)] = [place[c] for c in a]
+            right[i, :len(b)] = [place[c] for c in b]
+        n, m = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+        slope = e * np.arange(width + 1)
+        # states: M ends with a pair of symbols, X with a gap in b, Y with a gap in a
+        M, X, Y = (np.full((len(pairs), width + 1), LOW) for _ in range(3))
+        M[:, 0] = 0
+        Y[:, 1:] = o + slope[:-1]
+        out = np.full(len(pairs), LOW)
+
+        def end(i: int) -> None:
+            done = np.flatnonzero(n == i)
+            out[done] = np.maximum(np.maximum(M[done, m[done]], X[done, m[done]]), Y[done, m[done]])
+
+        end(0)
+        for i in range(1, rows + 1):
             best = np.maximum(np.maximum(M, X), Y)
-            opened, longer = np.maximum(M, Y) + o, X + e
-            from_x = np.where(opened >= longer, np.where(M >= Y, 0, 2), 1)
-            M = np.r_[LOW, best[:-1] + pair[i - 1]]
-            X = np.maximum(opened, longer)
+            X = np.maximum(np.maximum(M, Y) + o, X + e)
+            M[:, 1:] = best[:, :-1] + paired[left[:, i - 1, None], right]
+            M[:, 0] = LOW
+            np.maximum(M, LOW, out=M)
+            np.maximum(X, LOW, out=X)
             # a run of gaps along the row is a running maximum after removing its slope
-            start = np.maximum(M, X) + o
-            Y = np.r_[LOW, np.maximum.accumulate(start - e - steps)[:-1] + steps[1:]]
-            from_y = np.where(start[:-1] == Y[1:], np.where(M[:-1] >= X[:-1], 0, 1), 2)
-            codes[i] = from_x << 2
-            codes[i, 1:] |= (source[:-1] | (from_y << 4)).astype(np.uint8)
-        return codes, [int(M[-1]), int(X[-1]), int(Y[-1])]
+            start = np.maximum(M, X) + o - e - slope
+            Y[:, 1:] = np.maximum.accumulate(start, axis=1)[:, :-1] + slope[1:]
+            Y[:, 0] = LOW
+            end(i)
+        # the number is score * base^2 + matches * base - length
+        length = -out % base
+        rest = (out + length) // base
+        return [(int((r - r % base) // base), int(r % base), int(x)) for r, x in zip(rest, length)]
 
     def score(self, a: str, b: str) -> int:
-        return max(self.fill(a, b)[1])
+        return self.align([(a, b)])[0][0]
 
     def identity(self, a: str, b: str) -> float:
-        """Matches over alignment length of one best alignment."""
-        if not a or not b:
-            return 0.0
-        codes, ends = self.fill(a, b)
-        i, j = len(a), len(b)
-        state = int(np.argmax(ends))
-        matches = length = 0
-        while i > 0 or j > 0:
-            length += 1
-            code = (int(codes[i, j]) >> (2 * state)) & 3
-            if state == 0:
-                matches += a[i - 1] == b[j - 1]
-                i, j = i - 1, j - 1
-            elif state == 1:
-                i -= 1
-            else:
-                j -= 1
-            state = code
-        return matches / length
+        """Matches over alignment length; 0 if one of the sequences is empty."""
+        return self.identities([(a, b)])[0]
+
+    def identities(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = [0.0] * len(pairs)
+        for some in self._batches(pairs):
+            for i, (_, matches, length) in zip(some, self.align([pairs[i] for i in some])):
+                out[i] = matches / length
+        return out
+
+    def _batches(self, pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
+        """Pairs of similar lengths, ``ROW_CELLS`` cells of a row together; equal lengths stay whole."""
+        order = sorted((i for i, (a, b) in enumerate(pairs) if a and b), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+        batch: list[int] = []
+        widest = 0
+        for i in order:
+            widest = max(widest, len(pairs[i][1])) if batch else len(pairs[i][1])
+            rows = len(pairs[i][0])
+            if batch and ((len(batch) + 1) * (widest + 1) > ROW_CELLS or rows > 1.25 * len(pairs[batch[0]][0]) + 8):
+                yield batch
+                batch, widest = [], len(pairs[i][1])
+            batch.append(i)
+        if batch:
+            yield batch
 
 
 def pair_identity(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", aligner: Aligner | None = None) -> DataFrame:
@@ -106,7 +141,8 @@ def pair_identity(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", aligner:
     def run(batches):
         for batch in batches:
             left, right = batch.column(a).to_pylist(), batch.column(b).to_pylist()
-            values = [tool.identity(x, y) if x is not None and y is not None else None for x, y in zip(left, right)]
+            found = iter(tool.identities([(x, y) for x, y in zip(left, right) if x is not None and y is not None]))
+            values = [next(found) if x is not None and y is not None else None for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "identity"])
 
     return spread.mapInArrow(run, fields + ", identity double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandkit.functions import columns as fc
 from strandkit.functions import vectors as fv
+from strandkit.operators.align import Aligner, pair_identity
 
 
 class IncompleteStoreError(ValueError):
@@ -102,17 +103,24 @@ def profiles(
 
 
 def compare_pairs(
-    pairs: DataFrame, corpus: DataFrame, store: DataFrame, ident: str, family: str, tokens: str, poolings: list[str]
+    pairs: DataFrame, corpus: DataFrame, store: DataFrame, ident: str, family: str, tokens: str, poolings: list[str],
+    seq: str | None = None, domains: DataFrame | None = None, aligner: Aligner | None = None,
 ) -> DataFrame:
     """(a, b, same_family, shared, cosine_<pooling>...) for a pair table.
 
-    Every row of either side is fetched by an equi-join on its id.
+    With ``seq``, ``identity`` of the two sequences; with ``domains`` (id, start, end, name),
+    ``a_domains`` and ``b_domains`` in order of their starts, empty if there are none.  Every row
+    of either side is fetched by an equi-join on its id.
     """
-    side = lambda s: corpus.select(F.col(ident).alias(s), F.col(family).alias(f"__f{s}"), F.col(tokens).alias(f"__t{s}"))
+    extra = [] if seq is None else [F.col(seq)]
+    side = lambda s: corpus.select(
+        F.col(ident).alias(s), F.col(family).alias(f"__f{s}"), F.col(tokens).alias(f"__t{s}"), *[c.alias(f"__s{s}") for c in extra]
+    )
     base = pairs.join(side("a"), "a").join(side("b"), "b").select(
         "a", "b",
         F.coalesce(F.col("__fa") == F.col("__fb"), F.lit(False)).alias("same_family"),
         F.array_sort(F.array_intersect("__ta", "__tb")).alias("shared"),
+        *([] if seq is None else ["__sa", "__sb"]),
     )
     vec = lambda s: store.select(F.col(ident).alias(s), "pooling", F.col("vector").alias(f"__v{s}"))
     cosines = (
@@ -121,7 +129,19 @@ def compare_pairs(
         .groupBy("a", "b").pivot("pooling", poolings).agg(F.first("c"))
         .withColumnsRenamed({p: f"cosine_{p}" for p in poolings})
     )
-    return base.join(cosines, ["a", "b"], "left")
+    out = base.join(cosines, ["a", "b"], "left")
+    if seq is not None:
+        out = pair_identity(out, "__sa", "__sb", aligner).withColumn("identity", F.round("identity", 4)).drop("__sa", "__sb")
+    if domains is not None:
+        wanted = pairs.select(F.col("a").alias(ident)).unionByName(pairs.select(F.col("b").alias(ident))).distinct()
+        listed = domains.join(wanted, ident, "left_semi").groupBy(ident).agg(
+            F.array_sort(F.collect_list(F.struct("start", "end", "name"))).alias("__d")
+        )
+        for s in ("a", "b"):
+            out = out.join(listed.select(F.col(ident).alias(s), F.col("__d").alias(f"{s}_domains")), s, "left")
+        empty = F.array().cast(dict(listed.dtypes)["__d"])
+        out = out.withColumns({f"{s}_domains": F.coalesce(f"{s}_domains", empty) for s in ("a", "b")})
+    return out
 
 
 def pair_agreement(pairs: DataFrame, groups_a: DataFrame, groups_b: DataFrame) -> DataFrame:
