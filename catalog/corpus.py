@@ -327,9 +327,13 @@ def corpus_fasta_records(spark, sf):
     return d.select("doc_id", F.md5(record).alias("record"))
 
 
-@query("corpus_fingerprint")
+@query("corpus_fingerprint", """
+WITH r AS (SELECT concat_ws('|', coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(length(text) || ':' || text, '-'), coalesce(length(lang) || ':' || lang, '-'),
+  coalesce(length(source) || ':' || source, '-'), coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-')) AS r FROM documents),
+t AS (SELECT count(*) AS n, sum(('0x' || substr(md5(r), 1, 15))::BIGINT::HUGEINT) AS t FROM r)
+SELECT n AS n_rows, substr(sha256(n || '|' || t), 1, 16) AS fingerprint FROM t""")
 def corpus_fingerprint(spark, sf):
-    return tb.table_fingerprint(table(spark, sf, "documents"))
+    return tb.table_fingerprint(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query("corpus_domain_features", """

@@ -16,6 +16,8 @@ from strandkit.plans import corpus as pc
 from strandkit.session import checkpoint_folder
 from strandkit.sources import entries as en
 from strandkit.sources import tables as tb
+from strandkit.sources.files import file_digests
+from strandkit.sources.keyed import KeyedStore
 from strandkit.streaming import appends as ap
 
 OPTIONS = pc.BuildOptions(lengths=(1, 2048), alphabet=LETTERS)
@@ -177,14 +179,32 @@ def source_entries(spark, sf):
 @query("source_file_manifest", """
 SELECT count(*) AS rows, true AS digests, true AS sizes FROM part""")
 def source_file_manifest(spark, sf):
-    """Rows of all files of a written source; every file has a digest and a size."""
+    """Rows of all files of a written source; every file has the digest of its bytes and a size."""
     path = folder(spark)
     e = entries(spark, sf)
     columns = [(F.col(c) if c in e.columns else F.lit("-")).alias(title) for title, c in C.ENTRY_COLUMNS.items()]
     e.select(*columns).write.option("sep", "\t").option("header", True).option("quote", "").option("compression", "gzip").csv(path)
     files = f"{path}/*.csv.gz"
     manifest = en.file_manifest(spark, files, en.read_entries(spark, files))
-    return manifest.agg(F.sum("rows").alias("rows"), F.every(F.length("sha256") == 64).alias("digests"), F.every(F.col("bytes") > 0).alias("sizes"))
+    # the files are small, so the digests can be held against those of binary rows
+    whole = spark.read.format("binaryFile").load(files).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("want"))
+    checked = manifest.join(whole, "file", "left")
+    return checked.agg(F.sum("rows").alias("rows"), F.every(F.coalesce(F.col("sha256") == F.col("want"), F.lit(False))).alias("digests"), F.every(F.col("bytes") > 0).alias("sizes"))
+
+
+@query("source_file_digests", """
+SELECT o_orderpriority AS priority, sum(length(l) + 1)::BIGINT AS bytes, sha256(string_agg(l || chr(10), '' ORDER BY o_orderkey)) AS sha256
+FROM (SELECT o_orderpriority, o_orderkey, o_orderkey || ' ' || o_custkey || ' ' || o_orderstatus AS l FROM orders) GROUP BY o_orderpriority""")
+def source_file_digests(spark, sf):
+    """Digests and sizes of text files, one per order priority, read in ranges."""
+    path = folder(spark)
+    o = table(spark, sf, "orders")
+    lines = o.select("o_orderpriority", "o_orderkey", F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus").alias("value"))
+    # a file is one task's lines in order, so a priority is one partition here
+    placed = lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    placed.select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(path)
+    priority = F.regexp_extract(F.url_decode(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))), "o_orderpriority=([^/]*)/", 1)
+    return file_digests(spark, path).select(priority.alias("priority"), "bytes", "sha256")
 
 
 @query("source_assay_scores", """
@@ -243,16 +263,17 @@ def append_states(spark, sf):
 
 
 @query("stream_append", f"""
-WITH {NAMED_SQL} SELECT accession, s AS sequence, 2::BIGINT AS n_vectors FROM u""")
+WITH {NAMED_SQL} SELECT s AS sequence, 2::BIGINT AS n_vectors FROM u""")
 def stream_append(spark, sf):
-    """The corpus after two runs over the same entries: nothing is stored twice."""
-    path, schema = inbox(spark, named(spark, sf).coalesce(1))
+    """The corpus after two runs over files that arrive one by one: of equal sequences in
+    different batches one stays, and nothing is stored twice."""
+    path, schema = inbox(spark, named(spark, sf).repartition(4, "accession"))
     corpus, store = folder(spark), folder(spark)
     for _ in range(2):
-        source = spark.readStream.schema(schema).json(path)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
         run_to_end(ap.append_stream(source, corpus, store, em.HashingEncoder(8), folder(spark), ("mean", "max"), OPTIONS))
     counts = spark.read.parquet(f"{store}/vectors").groupBy(F.col("id").alias("accession")).agg(F.count(F.lit(1)).alias("n_vectors"))
-    return spark.read.parquet(corpus).select("accession", "sequence").join(counts, "accession")
+    return spark.read.parquet(corpus).select("accession", "sequence").join(counts, "accession").select("sequence", "n_vectors")
 
 
 @query("stream_search", f"""
@@ -273,9 +294,9 @@ def stream_search(spark, sf):
 WITH {NAMED_SQL} SELECT sha256('one_hot|mean|v1|-|' || s) AS key, {len(LETTERS)}::INTEGER AS dim FROM u""")
 def stream_cache(spark, sf):
     """One cached vector for each distinct sequence, also after a second run."""
-    path, schema = inbox(spark, named(spark, sf).select(F.col("accession").alias("id"), "sequence"))
+    path, schema = inbox(spark, named(spark, sf).select(F.col("accession").alias("id"), "sequence").repartition(3, "id"))
     cache = folder(spark)
     for _ in range(2):
-        source = spark.readStream.schema(schema).json(path)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
         run_to_end(ap.cache_stream(source, cache, em.OneHotEncoder(LETTERS), folder(spark), "mean", OPTIONS.lengths, LETTERS))
-    return em.latest_vectors(spark.read.parquet(cache)).select("key", F.size("vector").alias("dim"))
+    return em.latest_vectors(KeyedStore(spark, cache).read()).select("key", F.size("vector").alias("dim"))

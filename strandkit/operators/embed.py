@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandkit import constants as C
 from strandkit.functions import columns as fc
 from strandkit.operators.pooling import AttentionWeights, PoolingUnavailableError
+from strandkit.sources.keyed import KeyedStore
 
 
 class Encoder(Protocol):
@@ -223,16 +224,20 @@ def latest_vectors(cache: DataFrame) -> DataFrame:
 
 
 def embed_with_cache(
-    df: DataFrame, cache: DataFrame, encoder: Encoder, ident: str = "id", seq: str = "sequence",
+    df: DataFrame, cache: DataFrame | KeyedStore, encoder: Encoder, ident: str = "id", seq: str = "sequence",
     pooling: str = "mean", weights: AttentionWeights | None = None, fingerprint: str | None = None,
     lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(result, fresh): vectors with ``cache_hit`` and the rows to append.
 
-    Equal sequences share a key, so a missing one is encoded once.
+    Equal sequences share a key, so a missing one is encoded once.  Of a keyed store only the
+    buckets that the keys may be in are read.
     """
     valid = valid_sequences(df, ident, seq, lengths, alphabet).filter("reason is null").drop("reason")
     keyed = with_keys(valid, "sequence", encoder.name, pooling, fingerprint)
+    if isinstance(cache, KeyedStore):
+        stored = cache.matching(keyed)
+        cache = df.sparkSession.createDataFrame([], "key string, vector array<double>, written long") if stored is None else stored
     known = latest_vectors(cache)
     misses = keyed.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.first("sequence").alias("sequence"))
     fresh = embed(misses, encoder, "key", "sequence", (pooling,), weights, lengths=lengths, alphabet=alphabet).select(

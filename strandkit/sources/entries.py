@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from strandkit import constants as C
 from strandkit.functions import columns as fc
+from strandkit.sources.files import file_digests
 
 
 class MissingColumnsError(ValueError):
@@ -36,10 +37,7 @@ def read_entries(spark: SparkSession, path: str | list[str], partitions: int | N
 
 def file_manifest(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
     """(file, rows, bytes, sha256) per source file."""
-    files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-    )
+    files = file_digests(spark, path).select("file", "bytes", "sha256")
     rows = entries.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     return files.join(rows, "file", "left").select("file", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes", "sha256")
 

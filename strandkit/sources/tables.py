@@ -136,18 +136,15 @@ def read_runs(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """One row (n_rows, fingerprint) that ignores row order and partitioning.
 
-    Row hashes are added in a wide decimal, so equal rows do not cancel out.
+    A row is the md5 of its values as text, each with its length before it; the first 60 bits
+    are added in a wide decimal, so equal rows do not cancel out.
     """
-    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *[text(c) for c in df.columns])), 1, 15), 16, 10)
+    total = F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.substring(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(total, F.lit(0)).cast("string")), 256), 1, 16).alias("fingerprint"),
-    )
-
-
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")
+        F.substring(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), total.cast("string")), 256), 1, 16).alias("fingerprint"),
     )
 
 
@@ -157,15 +154,18 @@ def load_or_project(points: DataFrame, path: str, params: dict, compute) -> tupl
     """Coordinates for a parameter set, from the table when they fit the data.
 
     A version is named by the hash of a struct of the parameters together with the
-    fingerprint of the data, and counts as stored once its write has finished.
+    fingerprint of the data.  It counts as stored once its write has finished, and only if it
+    has as many rows as the data: a folder that was copied or cut short is computed again.
     """
     spark = points.sparkSession
     named = F.struct(*[F.lit(str(params[p])).alias(p) for p in sorted(params)], F.lit(0).alias("__end"))
-    key = table_fingerprint(points).select(F.sha2(F.concat_ws(":", F.to_json(named), "fingerprint"), 256).alias("key")).first()["key"]
+    key, n_rows = table_fingerprint(points).select(F.sha2(F.concat_ws(":", F.to_json(named), "fingerprint"), 256), "n_rows").first()
     target = f"{path}/version={key}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        return spark.read.parquet(target), True
+        stored = spark.read.parquet(target)
+        if stored.count() == n_rows:
+            return stored, True
     compute(points).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target), False
 

@@ -1,12 +1,14 @@
 """Batch operators driven by file streams: appends, searches, cache upserts.
 
-Each micro-batch runs the batch operator in ``foreachBatch``.  Rows already in the
-target are left out by an anti-join, so a repeated batch changes nothing.
+Each micro-batch runs the batch operator in ``foreachBatch``.  What is stored already is left
+out through keyed stores, which read only the buckets that a batch may meet, so a repeated
+batch changes nothing.  Of equal sequences in different batches the first one to arrive
+stays: the digests of the stored sequences have a store of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -15,21 +17,18 @@ from strandkit.operators.embed import Encoder, embed, valid_sequences, with_keys
 from strandkit.operators.knn import knn
 from strandkit.operators.sampling import dedup_exact
 from strandkit.plans.corpus import BuildOptions, checked_entries
+from strandkit.session import drop_table, reliable_checkpoint
 from strandkit.sources.entries import derive_fields
+from strandkit.sources.keyed import KeyedStore
 
 
-def _existing(spark: SparkSession, path: str, column: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.parquet(path).select(column)
-
-
-def _unseen(batch: DataFrame, path: str, key: str, stored: str | None = None) -> DataFrame:
-    have = _existing(batch.sparkSession, path, stored or key)
-    if have is None:
-        return batch
-    return batch.join(have.withColumnRenamed(stored or key, key).distinct(), key, "left_anti")
+def _without(rows: DataFrame, path: str, key: str, stored: str) -> DataFrame:
+    """Rows that the table at ``path`` lacks; it may not exist."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return rows
+    return rows.join(spark.read.parquet(path).select(F.col(stored).alias(key)).distinct(), key, "left_anti")
 
 
 def append_stream(
@@ -38,22 +37,37 @@ def append_stream(
 ) -> DataStreamWriter:
     """New entries: validate, deduplicate, derive, embed, append.
 
-    Vectors are written before rows, each guarded by its own anti-join: a batch
-    that failed between both writes completes on its next run.
+    An entry is new if neither its accession nor its sequence is stored.  A batch leaves a mark
+    while it writes; one that finds its mark did not end before, and writes only what is missing.
     """
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{corpus_path}_writing/{batch_id}")
+        system = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        again = system.exists(mark)
+        system.mkdirs(mark)
+        digests = KeyedStore(spark, f"{corpus_path}_digests", "digest")
+        names = KeyedStore(spark, f"{corpus_path}_names", "accession")
+        vectors_of = KeyedStore(spark, f"{store_path}_ids", "id")
         valid = checked_entries(batch, options).filter("reason is null").drop("reason")
         unique = dedup_exact(valid, "sequence", "accession").dropDuplicates(["accession"])
-        rows = derive_fields(_unseen(unique, corpus_path, "accession")).select(*C.CORPUS_COLUMNS).persist()
-        try:
-            fresh = _unseen(rows.select("accession", "sequence"), f"{store_path}/vectors", "accession", "id")
-            vectors = embed(fresh, encoder, "accession", "sequence", poolings, lengths=options.lengths, alphabet=options.alphabet)
-            vectors.withColumn("vector", F.col("vector").cast("array<float>")).write.mode("append").partitionBy(
-                "pooling"
-            ).parquet(f"{store_path}/vectors")
-            rows.write.mode("append").parquet(corpus_path)
-        finally:
-            rows.unpersist()
+        fresh = names.unseen(digests.unseen(unique.withColumn("digest", F.sha2("sequence", 256))))
+        if again:
+            fresh = _without(fresh, corpus_path, "accession", "accession")
+        rows = reliable_checkpoint(derive_fields(fresh).select(*C.CORPUS_COLUMNS, "digest"))
+        missing = vectors_of.unseen(rows.select(F.col("accession").alias("id"), "sequence"))
+        if again:
+            missing = _without(missing, f"{store_path}/vectors", "id", "id")
+        missing = reliable_checkpoint(missing)
+        vectors = embed(missing, encoder, "id", "sequence", poolings, lengths=options.lengths, alphabet=options.alphabet)
+        vectors.withColumn("vector", F.col("vector").cast("array<float>")).write.mode("append").partitionBy("pooling").parquet(f"{store_path}/vectors")
+        vectors_of.append(missing.select("id"))
+        rows.drop("digest").write.mode("append").parquet(corpus_path)
+        names.append(rows.select("accession"))
+        digests.append(rows.select("digest"))
+        system.delete(mark, True)
+        drop_table(rows)
+        drop_table(missing)
 
     return entries.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
@@ -64,7 +78,7 @@ def search_stream(
 ) -> DataStreamWriter:
     """Hits of arriving (id, sequence) records against a static store."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        vectors = embed(batch, encoder, lengths=lengths, alphabet=alphabet)
+        vectors = reliable_checkpoint(embed(batch, encoder, lengths=lengths, alphabet=alphabet))
         hits = knn(vectors, store, k, exclude_self=False)
         # one folder per batch: a repeated batch replaces its own output
         hits.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -79,13 +93,14 @@ def cache_stream(
     """Vectors of arriving sequences, appended under their key; the last write of a
     key wins when the cache is read."""
     def apply(batch: DataFrame, batch_id: int) -> None:
+        cache = KeyedStore(batch.sparkSession, cache_path)
         valid = valid_sequences(batch, "id", "sequence", lengths, alphabet).filter("reason is null")
         keyed = with_keys(valid, "sequence", encoder.name, pooling)
         distinct = keyed.groupBy("key").agg(F.first("sequence").alias("sequence"))
-        missing = _unseen(distinct, cache_path, "key")
+        missing = cache.unseen(distinct)
         vectors = embed(missing, encoder, "key", "sequence", (pooling,), lengths=lengths, alphabet=alphabet)
-        vectors.select(
-            F.col("id").alias("key"), "vector", F.lit(batch_id).cast("long").alias("written")
-        ).write.mode("append").parquet(cache_path)
+        written = reliable_checkpoint(vectors.select(F.col("id").alias("key"), "vector", F.lit(batch_id).cast("long").alias("written")))
+        cache.append(written)
+        drop_table(written)
 
     return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

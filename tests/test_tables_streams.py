@@ -13,6 +13,8 @@ from strandkit.operators.cluster import map_coordinates
 from strandkit.plans import corpus as pc
 from strandkit.sources import entries as en
 from strandkit.sources import tables as tb
+from strandkit.sources.files import file_digests
+from strandkit.sources.keyed import KeyedStore
 from strandkit.streaming import appends as ap
 
 AA = C.AMINO_ACIDS
@@ -152,7 +154,7 @@ def test_fingerprints(spark, tmp_path):
     assert a == tb.table_fingerprint(df.repartition(7).orderBy(F.desc("id"))).first()
     assert a["fingerprint"] != tb.table_fingerprint(df.withColumn("v", F.lit(0))).first()["fingerprint"]
     (tmp_path / "f.txt").write_bytes(b"abc")
-    assert tb.file_fingerprints(spark, str(tmp_path / "f.txt")).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert file_digests(spark, str(tmp_path / "f.txt")).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
 
 
 def test_versioned_projection(spark, tmp_path):
@@ -231,4 +233,4 @@ def test_streams(spark, tmp_path):
     q = ap.cache_stream(stream, str(tmp_path / "cache"), encoder, str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None
-    assert em.latest_vectors(spark.read.parquet(str(tmp_path / "cache"))).count() == 1
+    assert em.latest_vectors(KeyedStore(spark, str(tmp_path / "cache")).read()).count() == 1
