@@ -26,6 +26,14 @@ def sample_cap_group(spark, sf):
     return sa.cap_per_group(d, "lang", 80, "doc_id", F.col("n_chars") > 20000).select("doc_id", "lang")
 
 
+# A cap above the number of rows that Spark limits inside map tasks.
+@query("sample_cap_large", """
+SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42|' || l_orderkey || ':' || l_linenumber), l_orderkey || ':' || l_linenumber) AS r FROM lineitem) WHERE r <= 1500""")
+def sample_cap_large(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber").withColumn("key", F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    return sa.cap_per_group(l, "l_returnflag", 1500, "key", F.lit(False)).select("l_returnflag", "l_orderkey", "l_linenumber")
+
+
 @query("sample_proportional", """
 WITH d AS (SELECT doc_id, source, n_chars > 20000 AS keep FROM documents), t AS (SELECT count(*) AS t FROM d),
 n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
@@ -76,16 +84,27 @@ def sample_holdout(spark, sf):
     return sa.stratified_holdout(docs(spark, sf), "lang", "doc_id").select("doc_id", "lang", "holdout")
 
 
+def permuted_sql(seed: int, bound: str, position: str, keys: str, rounds: int = 24) -> str:
+    """The swap-or-not shuffle of ``functions.columns.permuted``."""
+    def index(s, n, k):
+        return f"(('0x' || substr(md5('{s}|' || {k}), 1, 15))::BIGINT % {n})"
+
+    other = f"(({index(seed, bound, keys + ' || chr(124) || r')} - x) % {bound} + {bound}) % {bound}"
+    flip = index(seed + 1, 2, f"{keys} || '|' || r || '|' || greatest(x, {other})")
+    return f"list_reduce(list_concat([({position})::BIGINT], range(1, {rounds + 1})), lambda x, r: CASE WHEN {flip} = 1 THEN {other} ELSE x END)"
+
+
 @query("sample_batches", f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 2),
 c AS (SELECT source, n, row_number() OVER (ORDER BY {FRAC.format(k='source')}, source) AS c, count(*) OVER () AS k FROM n),
 m AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents WHERE source IN (SELECT source FROM n)),
-b AS (SELECT b.range AS batch, i.range AS i, (SELECT count(*) FROM n) AS k FROM range(20) b, range(8) i),
-d AS (SELECT batch, c.source, c.n FROM b JOIN c ON c.c = (('0x' || substr(md5('42|' || batch), 1, 15))::BIGINT % b.k + i) % b.k + 1 WHERE i < b.k),
-x AS (SELECT batch, source, ((('0x' || substr(md5('43|' || batch || '|' || source), 1, 15))::BIGINT % n) + j.range) % n + 1 AS r FROM d, range(4) j WHERE j.range < n)
+b AS (SELECT b.range AS batch, i.range AS i, (SELECT count(*) FROM n) AS k FROM range(20) b, range(3) i),
+q AS (SELECT batch, {permuted_sql(42, 'k', 'i', 'batch')} + 1 AS c FROM b WHERE i < k),
+d AS (SELECT batch, c.source, c.n FROM q JOIN c USING (c)),
+x AS (SELECT batch, source, {permuted_sql(44, 'n', 'j.range', "batch || '|' || source")} + 1 AS r FROM d, range(4) j WHERE j.range < n)
 SELECT batch, x.source, m.doc_id FROM x JOIN m ON m.source = x.source AND m.r = x.r""")
 def sample_batches(spark, sf):
-    return sa.balanced_batches(docs(spark, sf), "source", "doc_id", 20)
+    return sa.balanced_batches(docs(spark, sf), "source", "doc_id", 20, classes=3)
 
 
 @query("sample_random_pairs", """

@@ -232,3 +232,18 @@ def hash_index(seed: int, bound: Column, *keys: Column) -> Column:
     """A whole number in [0, bound) from 60 bits, near uniform for any row count."""
     head = F.conv(F.substring(hash_order(seed, *keys), 1, 15), 16, 10).cast("long")
     return F.pmod(head, bound)
+
+
+def permuted(seed: int, bound: Column, position: Column, *keys: Column, rounds: int = 24) -> Column:
+    """The place of ``position`` in a random order of 0 .. bound - 1 that ``seed`` and ``keys`` name.
+
+    A swap-or-not shuffle: each round pairs x with K - x (mod bound) for a hashed K and swaps
+    the two or not by a hashed bit of the pair.  Every round is a permutation for any bound, so
+    draws at different positions never meet, and no order is stored or sorted.
+    """
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(hash_index(seed, bound, *keys, r) - x, bound)
+        flip = hash_index(seed + 1, F.lit(2), *keys, r, F.greatest(x, other)) == 1
+        return F.when(flip, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), position.cast("long"), turn)

@@ -10,6 +10,10 @@ from strandkit import constants as C
 from strandkit.session import reliable_checkpoint
 
 
+# Sets that share an element and meet in one task at most.
+SALT_ROWS = 10_000
+
+
 def windows(seq: Column, k: int, alphabet: str | None = None) -> Column:
     """All overlapping windows; with an alphabet only those made of its symbols.
 
@@ -96,18 +100,31 @@ def similar_sequences(
     # one set only are always in it but match nothing, so they are left out.
     rest = (F.ceil(F.col("size") * threshold - 1e-9) - 1).cast("int")
     place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("df"), F.desc("e")))
-    # Both sides of the join below read the prefixes.
+    known = F.count(F.lit(1)).over(W.partitionBy("key"))
+    # A set of which too few elements occur elsewhere has no partner.  Both sides of the join
+    # below read the prefixes.
     prefixes = reliable_checkpoint(
-        elements.join(frequency, "e").withColumn("rest", rest).withColumn("place", place)
-        .filter("place > rest").select("key", "size", "rest", "low", "high", "e")
+        elements.join(frequency, "e").withColumn("rest", rest).withColumn("place", place).withColumn("known", known)
+        .filter((F.col("place") > F.col("rest")) & (F.col("known") >= F.col("size") * threshold - 1e-9))
+        .select("key", "size", "rest", "low", "high", "e", "place", "known", F.ceil(F.col("df") / SALT_ROWS).cast("int").alias("salts"))
+    )
+    # An element that many sets share is cut by salt: one side is dealt, the other repeated.
+    x = prefixes.filter("low = 0").select(
+        "e", F.col("key").alias("ka"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("place").alias("pa"), F.col("known").alias("fa"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+    )
+    y = prefixes.select(
+        "e", F.col("key").alias("kb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("place").alias("pb"), F.col("known").alias("fb"), "high",
+        F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"),
     )
-    x = prefixes.filter("low = 0").select("e", F.col("key").alias("ka"), F.col("size").alias("na"), F.col("rest").alias("ra"))
-    y = prefixes.select("e", F.col("key").alias("kb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), "high")
     apart = F.col("ka") < F.col("kb") if right is None else (F.col("ka") != F.col("kb")) & (F.col("high") == 1)
     fits = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-    needed = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - F.greatest("ra", "rb") - 1e-9
+    overlap = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    # at a shared element no more can be shared than both have before it and from it on
+    in_place = F.least(F.col("fa") - F.col("pa"), F.col("fb") - F.col("pb")) + F.least("pa", "pb") >= overlap
+    needed = overlap - F.greatest("ra", "rb")
     candidates = (
-        x.join(y, "e").filter(apart & fits).select("ka", "kb", needed.alias("needed"))
+        x.join(y, ["e", "salt"]).filter(apart & fits & in_place).select("ka", "kb", needed.alias("needed"))
         .groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("shared"), F.max("needed").alias("needed"))
         .filter("shared >= needed").select("ka", "kb")
     )

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandkit import constants as C
 from strandkit.functions.stats import spearman_p_value
 from strandkit.operators.ranking import cumulative_before, group_quantiles, ranks_from, slice_bounds
+from strandkit.session import reliable_checkpoint
 
 
 def one_row(*tables: DataFrame) -> DataFrame:
@@ -243,28 +247,49 @@ def sampled_disagreement(pairs: DataFrame) -> DataFrame:
 
 
 def contrastive_loss(
-    rows: DataFrame, batch: str, ident: str, label: str, vec: str, temperature: float = 0.1
+    rows: DataFrame, batch: str, ident: str, label: str, vec: str, temperature: float = 0.1, block_rows: int = 1024
 ) -> DataFrame:
     """Supervised contrastive loss per batch; a batch without positives scores 0.
 
-    A batch is a sampled set of fixed size, so its similarity rows stay small.
+    A batch may hold any number of rows: it is cut into blocks, each pair of blocks is one matrix
+    product, and only partial sums per anchor leave a task.  A row without a label has no positives.
     """
-    from strandkit.functions.vectors import dot, unit
-
     base = rows.select(
-        F.col(batch).alias("batch"), F.col(ident).alias("i"), F.col(label).alias("y"), unit(F.col(vec)).alias("z")
+        F.col(batch).alias("batch"), F.col(ident).cast("string").alias("i"), F.col(label).cast("string").alias("y"),
+        F.col(vec).cast("array<double>").alias("z"),
+    )
+    sizes = base.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks"))
+    packed = reliable_checkpoint(
+        base.join(sizes, "batch").withColumn("block", F.pmod(F.xxhash64("i"), F.col("n_blocks")).cast("int"))
+        .groupBy("batch", "n_blocks", "block").agg(F.collect_list(F.struct("i", "y", "z")).alias("r"))
+        .select("batch", "n_blocks", "block", F.col("r.i").alias("i"), F.col("r.y").alias("y"), F.flatten("r.z").alias("z"))
     )
-    other = base.select("batch", F.col("i").alias("j"), F.col("y").alias("y2"), F.col("z").alias("z2"))
-    sims = base.join(other, "batch").filter(F.col("i") != F.col("j")).select(
-        "batch", "i", (F.col("y") == F.col("y2")).alias("pos"),
-        (dot(F.col("z"), F.col("z2")) / temperature).alias("s"),
+    # every block of anchors meets every block of its batch
+    anchors = packed.select(
+        "batch", F.col("i").alias("ai"), F.col("y").alias("ay"), F.col("z").alias("az"),
+        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
     )
+    met = anchors.join(packed.drop("n_blocks"), ["batch", "block"]).select("batch", "ai", "ay", "az", "i", "y", "z")
+    batch_type = dict(packed.dtypes)["batch"]
     # similarities are bounded by 1 / temperature: shifting by it keeps exp in range
     top = 1.0 / temperature
-    anchors = sims.groupBy("batch", "i").agg(
-        (F.log(F.sum(F.exp(F.col("s") - top))) + top).alias("lse"),
-        F.avg(F.when(F.col("pos"), F.col("s"))).alias("mean_pos"),
-    )
-    return anchors.groupBy("batch").agg(
-        F.coalesce(-F.avg(F.col("mean_pos") - F.when(F.col("mean_pos").isNotNull(), F.col("lse"))), F.lit(0.0)).alias("loss")
-    )
+
+    def run(batches):
+        for b in batches:
+            column = lambda name: b.column(b.schema.get_field_index(name))
+            for row in range(b.num_rows):
+                read = lambda name: column(name)[row].values.to_numpy(zero_copy_only=False)
+                ai, i, ay, y = read("ai"), read("i"), read("ay"), read("y")
+                unit = lambda flat, n: (m := flat.reshape(n, -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), C.EPSILON)
+                s = unit(read("az"), len(ai)) @ unit(read("z"), len(i)).T / temperature
+                other = ai[:, None] != i[None, :]
+                same = other & (ay[:, None] == y[None, :]) & np.array([v is not None for v in ay])[:, None]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(column("batch").slice(row, 1).to_pylist() * len(ai), column("batch").type), pa.array(ai, pa.string()),
+                    pa.array((np.exp(s - top) * other).sum(axis=1)), pa.array((s * same).sum(axis=1)), pa.array(same.sum(axis=1)),
+                ], ["batch", "i", "exps", "positive", "n_positive"])
+
+    part = met.mapInArrow(run, f"batch {batch_type}, i string, exps double, positive double, n_positive bigint")
+    whole = part.groupBy("batch", "i").agg(*[F.sum(c).alias(c) for c in ("exps", "positive", "n_positive")])
+    gain = F.when(F.col("n_positive") > 0, F.col("positive") / F.col("n_positive") - (F.log("exps") + top))
+    return whole.groupBy("batch").agg(F.coalesce(-F.avg(gain), F.lit(0.0)).alias("loss"))

@@ -11,6 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandkit.functions.columns import hash_fraction, hash_order
 from strandkit.session import reliable_checkpoint, shuffle_width
@@ -18,6 +19,8 @@ from strandkit.session import reliable_checkpoint, shuffle_width
 # Least number of slices of a group, and the rows a slice should hold beyond it.
 SLICES = 64
 SLICE_ROWS = 1_000_000
+# Spark's own bound of a group limit inside map tasks.
+MAP_SIDE_LIMIT = 1000
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -29,8 +32,15 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows of each group.  ``n`` is a constant, so Spark limits every
-    group inside the map tasks before the shuffle."""
+    """First ``n`` rows of each group, by a total order.  ``n`` is a constant, so Spark limits every
+    group inside the map tasks before the shuffle, up to ``MAP_SIDE_LIMIT`` rows.  For more, slices
+    of a group by a hash of its rows are cut to ``n`` first: the last step sorts ``SLICES`` x ``n`` rows
+    of a group at most, however large it is."""
+    if n > MAP_SIDE_LIMIT:
+        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*hashed), F.lit(SLICES)))
+        inside = F.row_number().over(W.partitionBy(*keys, "__slice").orderBy(*order))
+        df = sliced.withColumn("__in", inside).filter(F.col("__in") <= n).drop("__slice", "__in")
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 

@@ -144,30 +144,27 @@ def stratified_holdout(df: DataFrame, label: str, ident: str, fraction: float =
 def balanced_batches(
     df: DataFrame, label: str, ident: str, n_batches: int, classes: int = 8, per_class: int = 4, seed: int = 42
 ) -> DataFrame:
-    """(batch, label, id): ``classes`` classes with up to ``per_class`` members each.
+    """(batch, label, id): ``classes`` classes, drawn without replacement, with up to ``per_class``
+    members each, drawn without replacement.
 
-    Members of a class are numbered once in random order; a batch reads a run of
-    that order from a hashed start, so a class is never exploded per batch.
+    Classes and members are numbered once.  A keyed permutation maps (batch, i) to the number
+    of a class, and (batch, class, j) to that of a member, so nothing is ordered per batch.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).filter("__n >= 2")
     eligible = df.join(sizes.select(label), label, "left_semi")
     numbered = random_rank_in_group(eligible.select(label, ident), [label], [ident], seed, rank="__rank", size="__n")
-    batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch")
-    # A batch draws its classes by position in one hashed order of the classes.
     order = sizes.withColumn("__pos", fc.hash_fraction(seed, F.col(label)))
     placed = rank_in_group(order, [], F.col("__pos"), [F.col(label)], "__c", "__classes").drop("__pos")
     n_classes = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    take = F.least(F.lit(classes), n_classes).cast("int")
-    draws = batches.withColumn("__classes_n", n_classes).withColumn("__i", F.explode(F.sequence(F.lit(0), take - 1)))
-    start = fc.hash_index(seed, F.col("__classes_n"), F.col("batch"))
-    picked = draws.withColumn("__c", F.pmod(start + F.col("__i"), F.col("__classes_n")) + 1).join(
+    batches = df.sparkSession.range(n_batches).withColumnRenamed("id", "batch").withColumn("__classes_n", n_classes)
+    take = F.least(F.lit(classes), F.col("__classes_n")).cast("int")
+    draws = batches.filter("__classes_n > 0").withColumn("__i", F.explode(F.sequence(F.lit(0), take - 1)))
+    picked = draws.withColumn("__c", fc.permuted(seed, F.col("__classes_n"), F.col("__i"), F.col("batch")) + 1).join(
         placed.select(label, F.col("__n").alias("__size"), "__c"), "__c"
     )
-    members = picked.withColumn(
-        "__j", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_class).cast("long"), F.col("__size")).cast("int") - 1))
-    ).withColumn(
-        "__rank",
-        F.pmod(fc.hash_index(seed + 1, F.col("__size"), F.col("batch"), F.col(label)) + F.col("__j"), F.col("__size")) + 1,
+    some = F.least(F.lit(per_class).cast("long"), F.col("__size")).cast("int")
+    members = picked.withColumn("__j", F.explode(F.sequence(F.lit(0), some - 1))).withColumn(
+        "__rank", fc.permuted(seed + 2, F.col("__size"), F.col("__j"), F.col("batch"), F.col(label)) + 1
     )
     return members.join(numbered.drop("__n"), [label, "__rank"]).select("batch", label, ident)
 
