@@ -24,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vector_digest(vec):
+    """One whole number that every component and its place change: the sum of i * round(10^6 x)."""
+    from pyspark.sql import functions as F
+
+    parts = F.transform(vec, lambda x, i: (i + 1).cast("long") * F.round(x.cast("double") * 1000000).cast("long"))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def vector_digest_sql(vec: str) -> str:
+    return f"list_sum(list_transform({vec}, lambda x, i: i * round(x::DOUBLE * 1000000)::BIGINT))::BIGINT"
+
+
 def alignment_sql(pairs: str) -> str:
     """CTE ``ai`` (a, b, identity) over a CTE with (a, b, sa, sb), by anti-diagonals of the cells.
 

@@ -324,20 +324,17 @@ def variant_effects(spark, sf):
 
 
 @query("variant_residue_deltas", f"""
-WITH {RES_SQL}, d AS (SELECT id, pos, list_distance(v, list_reverse(v)) AS d FROM r)
-SELECT id, round(avg(d) FILTER (pos BETWEEN 12 AND 28), 6) AS local_delta, round(avg(d), 6) AS global_delta,
-  string_agg(round(d, 3)::DECIMAL(9, 3)::VARCHAR, ',' ORDER BY pos) AS deltas FROM d GROUP BY id""")
+WITH {RES_SQL}, d AS (SELECT id, pos, list_distance(v, list_reverse(v)) AS d FROM r),
+m AS (SELECT id, round(avg(d) FILTER (pos BETWEEN 12 AND 28), 6) AS local_delta, round(avg(d), 6) AS global_delta FROM d GROUP BY id)
+SELECT id, pos::INTEGER AS pos, round(d, 6) AS delta, local_delta, global_delta FROM d JOIN m USING (id)""")
 def variant_residue_deltas(spark, sf):
     wild = residues(store(spark, sf))
     mutant = wild.select("id", F.col("id").alias("variant"), "pos", F.reverse("vector").alias("vector"))
     sites = wild.select(F.col("id").alias("variant")).distinct().withColumn("pos", F.lit(20))
     deltas = va.residue_deltas(wild, mutant)
-    out = va.delta_profile(deltas, sites)
-    listed = deltas.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("l")).select(
-        "variant", F.concat_ws(",", F.transform("l", lambda e: F.round(e["delta"], 3).cast("decimal(9,3)").cast("string"))).alias("deltas")
-    )
-    return out.join(listed, "variant").select(
-        F.col("variant").alias("id"), F.round("local_delta", 6).alias("local_delta"), F.round("global_delta", 6).alias("global_delta"), "deltas"
+    means = va.delta_profile(deltas, sites, listed=False)
+    return deltas.join(means, "variant").select(
+        F.col("variant").alias("id"), F.col("pos").cast("int").alias("pos"), *[F.round(c, 6).alias(c) for c in ("delta", "local_delta", "global_delta")]
     )
 
 

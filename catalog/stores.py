@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import query, table, vector_digest, vector_digest_sql
 from catalog.corpus import DERIVED_SQL, ENTRIES_SQL, LETTERS, entries
 from strandkit import constants as C
 from strandkit.operators import embed as em
@@ -58,13 +58,13 @@ def sink_fasta(spark, sf):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_embedding_store", """
-SELECT vec_id AS id, round(-(embedding[1]::DOUBLE), 6) AS first, round(-(embedding[-1]::DOUBLE), 6) AS last, len(embedding)::INTEGER AS dim FROM embeddings""")
+@query("sink_embedding_store", f"""
+SELECT vec_id AS id, round(-(embedding[1]::DOUBLE), 6) AS first, -{vector_digest_sql('embedding')} AS digest, len(embedding)::INTEGER AS dim FROM embeddings""")
 def sink_embedding_store(spark, sf):
     path = folder(spark)
     tb.write_store(vectors(spark, sf), path, "base", "hash")
-    at = lambda i: F.round(F.element_at("vector", i).cast("double"), 6)
-    return tb.read_store(spark, path, "max").select("id", at(1).alias("first"), at(-1).alias("last"), F.size("vector").alias("dim"))
+    first = F.round(F.element_at("vector", 1).cast("double"), 6)
+    return tb.read_store(spark, path, "max").select("id", first.alias("first"), vector_digest(F.col("vector")).alias("digest"), F.size("vector").alias("dim"))
 
 
 @query("sink_store_meta", """
@@ -77,15 +77,15 @@ def sink_store_meta(spark, sf):
     )
 
 
-@query("sink_encoder_vectors", """
-SELECT slug AS encoder, vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings, (VALUES ('prostt5'), ('other')) AS s(slug)""")
+@query("sink_encoder_vectors", f"""
+SELECT slug AS encoder, vec_id AS id, {vector_digest_sql('embedding')} AS digest FROM embeddings, (VALUES ('prostt5'), ('other')) AS s(slug)""")
 def sink_encoder_vectors(spark, sf):
     path = folder(spark)
     mean = vectors(spark, sf).filter("pooling = 'mean'")
     # the second write leaves the folder of the first encoder alone
     for slug in (tb.encoder_slug("Rostlab/ProstT5"), "other"):
         tb.write_encoder_vectors(mean, path, slug)
-    return spark.read.parquet(path).select("encoder", "id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+    return spark.read.parquet(path).select("encoder", "id", vector_digest(F.col("vector")).alias("digest"))
 
 
 # -- payloads ----------------------------------------------------------------------
@@ -262,6 +262,23 @@ def append_states(spark, sf):
     return states.select("accession", "state")
 
 
+# The rows that an append adds, with the vectors that are written before them.
+@query("append_rows", f"""
+WITH {NAMED_SQL}, w AS (SELECT DISTINCT accession FROM raw WHERE accession NOT IN (SELECT accession FROM u WHERE accession < 'Q000100'))
+SELECT n.accession, n.s AS sequence, 'max,mean' AS poolings, {len(LETTERS)}::INTEGER AS dim,
+  list_sum(list_transform(string_split('{LETTERS}', ''), lambda x, i: i * round((length(n.s) - length(replace(n.s, x, '')))::DOUBLE / length(n.s) * 1000000)::BIGINT))::BIGINT AS mean_digest
+FROM n JOIN w ON w.accession = n.accession""")
+def append_rows(spark, sf):
+    rows = named(spark, sf)
+    corpus = pc.named_entries(rows.withColumn("protein_name", F.concat(F.lit("n"), "protein_name")), OPTIONS).filter("accession < 'Q000100'")
+    fresh, found, _ = pc.append_entries(rows.select("accession"), rows, corpus, em.OneHotEncoder(LETTERS), ["mean", "max"], options=OPTIONS)
+    per = found.groupBy(F.col("id").alias("accession")).agg(
+        F.array_join(F.array_sort(F.collect_set("pooling")), ",").alias("poolings"), F.max(F.size("vector")).alias("dim"),
+        F.max(F.when(F.col("pooling") == "mean", vector_digest(F.col("vector")))).alias("mean_digest"),
+    )
+    return fresh.select("accession", "sequence").join(per, "accession")
+
+
 @query("stream_append", f"""
 WITH {NAMED_SQL} SELECT s AS sequence, 2::BIGINT AS n_vectors FROM u""")
 def stream_append(spark, sf):

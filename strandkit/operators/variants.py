@@ -124,16 +124,16 @@ def residue_deltas(wild: DataFrame, mutant: DataFrame, ident: str = "id", varian
 
 
 def delta_profile(
-    deltas: DataFrame, sites: DataFrame, variant: str = "variant", window: int = C.SITE_WINDOW
+    deltas: DataFrame, sites: DataFrame, variant: str = "variant", window: int = C.SITE_WINDOW, listed: bool = True
 ) -> DataFrame:
-    """Mean change near the site, over all positions, and per position."""
+    """Mean change near the site, over all positions, and with ``listed`` per position as one list;
+    the rows of ``residue_deltas`` say the same for sequences of any length."""
     near = F.col("pos").between(F.col("site") - window, F.col("site") + window)
+    per_residue = F.transform(F.array_sort(F.collect_list(F.struct("pos", "delta"))), lambda e: F.round(e["delta"], 5))
     return deltas.filter("pos > 0").join(sites.select(variant, F.col("pos").alias("site")), variant).groupBy(variant).agg(
         F.avg(F.when(near, F.col("delta"))).alias("local_delta"),
         F.avg("delta").alias("global_delta"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "delta"))), lambda e: F.round(e["delta"], 5)
-        ).alias("per_residue_delta"),
+        *([per_residue.alias("per_residue_delta")] if listed else []),
     )
 
 
