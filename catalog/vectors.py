@@ -469,3 +469,13 @@ SELECT 'all' AS batch, round(coalesce(-avg(mp - lse), 0), 6) AS loss FROM a""")
 def contrastive_loss_whole(spark, sf):
     e = store(spark, sf).withColumn("batch", F.lit("all"))
     return mt.contrastive_loss(e, "batch", "id", "label", "vector", block_rows=200).withColumn("loss", F.round("loss", 6))
+
+
+@query("metric_average_ranks", """
+WITH r AS (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS r FROM lineitem)
+SELECT l_returnflag, l_quantity::DOUBLE AS l_quantity, max(r) AS mean_rank, count(*) AS n FROM r GROUP BY ALL""")
+def metric_average_ranks(spark, sf):
+    from strandkit.operators.ranking import average_ranks
+
+    out = average_ranks(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", "mean_rank")
+    return out.select("l_returnflag", F.col("l_quantity").cast("double"), "mean_rank", "n")
