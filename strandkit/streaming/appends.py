@@ -76,12 +76,25 @@ def search_stream(
     records: DataFrame, store: DataFrame, encoder: Encoder, out_path: str, checkpoint: str, k: int = 10,
     lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS,
 ) -> DataStreamWriter:
-    """Hits of arriving (id, sequence) records against a static store."""
+    """Hits of arriving (id, sequence) records against a static store.
+
+    Every record has its hits, also if records share an id; a sequence is searched once per batch."""
+    kind = "string" if dict(store.dtypes)["id"] == "string" else "bigint"
+    static = store.withColumn("id", F.col("id").cast(kind))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        vectors = reliable_checkpoint(embed(batch, encoder, lengths=lengths, alphabet=alphabet))
-        hits = knn(vectors, store, k, exclude_self=False)
+        valid = valid_sequences(batch, "id", "sequence", lengths, alphabet).filter("reason is null")
+        digested = valid.select("id", F.sha2("sequence", 256).alias("digest"), "sequence")
+        distinct = digested.groupBy("digest").agg(F.first("sequence").alias("sequence"))
+        # the numbers stand for sequences in both joins, so they are written once
+        texts = reliable_checkpoint(distinct.withColumn("key", F.monotonically_increasing_id().cast(kind)))
+        vectors = reliable_checkpoint(embed(texts, encoder, "key", lengths=lengths, alphabet=alphabet))
+        hits = knn(vectors, static, k, exclude_self=False).withColumnRenamed("query_id", "key")
+        records = digested.select(F.col("id").alias("query_id"), "digest").join(texts.select("digest", "key"), "digest")
         # one folder per batch: a repeated batch replaces its own output
-        hits.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        records.join(hits, "key").select("query_id", "rank", "id", "similarity").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        drop_table(texts)
+        drop_table(vectors)
 
     return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
