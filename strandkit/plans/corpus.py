@@ -101,18 +101,27 @@ def append_entries(
     """(rows, vectors, states) for requested ids that the corpus lacks.
 
     Write the vectors first and the rows after them: a reader then never meets a
-    row without vectors.
+    row without vectors.  Records may share an id: each has a row and its own vectors
+    (id, digest, pooling, vector), told apart by the SHA-256 of the sequence; a sequence is
+    encoded once.  There is one state per request, ``invalid`` if no record of the id is valid.
     """
     computable = {p for p in C.POOLINGS if p != "attention" or weights is not None}
     if not set(stored_poolings) <= computable:
         raise PartialAppendError(f"stored poolings {stored_poolings}, computable {sorted(computable)}")
-    states = missing_requests(wanted, corpus, entries, "accession")
-    new = entries.join(states.filter("state = 'found'").select("accession"), "accession", "left_semi")
+    known = missing_requests(wanted, corpus, entries, "accession")
+    new = entries.join(known.filter("state = 'found'").select("accession"), "accession", "left_semi")
     checked = checked_entries(new, options)
-    states = states.join(checked.select("accession", "reason"), "accession", "left").withColumn(
+    # the smallest reason, if no record of the id is without one
+    reasons = checked.groupBy("accession").agg(
+        F.when(F.every(F.col("reason").isNotNull()), F.min("reason")).alias("reason")
+    )
+    states = wanted.select("accession").join(known, "accession").join(reasons, "accession", "left").withColumn(
         "state", F.when(F.col("reason").isNotNull(), "invalid").otherwise(F.col("state"))
     )
     rows = derive_fields(checked.filter("reason is null").drop("reason")).select(*C.CORPUS_COLUMNS)
-    vectors = embed(rows, encoder, "accession", "sequence", tuple(stored_poolings), weights,
-                    lengths=options.lengths, alphabet=options.alphabet)
+    named = rows.select(F.col("accession").alias("id"), F.sha2("sequence", 256).alias("digest"), "sequence")
+    distinct = named.groupBy("digest").agg(F.first("sequence").alias("sequence"))
+    encoded = embed(distinct, encoder, "digest", "sequence", tuple(stored_poolings), weights,
+                    lengths=options.lengths, alphabet=options.alphabet).withColumnRenamed("id", "digest")
+    vectors = named.select("id", "digest").distinct().join(encoded, "digest").select("id", "digest", "pooling", "vector")
     return rows, vectors, states
