@@ -272,11 +272,12 @@ def append_rows(spark, sf):
     rows = named(spark, sf)
     corpus = pc.named_entries(rows.withColumn("protein_name", F.concat(F.lit("n"), "protein_name")), OPTIONS).filter("accession < 'Q000100'")
     fresh, found, _ = pc.append_entries(rows.select("accession"), rows, corpus, em.OneHotEncoder(LETTERS), ["mean", "max"], options=OPTIONS)
-    per = found.groupBy(F.col("id").alias("accession")).agg(
+    per = found.groupBy(F.col("id").alias("accession"), "digest").agg(
         F.array_join(F.array_sort(F.collect_set("pooling")), ",").alias("poolings"), F.max(F.size("vector")).alias("dim"),
         F.max(F.when(F.col("pooling") == "mean", vector_digest(F.col("vector")))).alias("mean_digest"),
     )
-    return fresh.select("accession", "sequence").join(per, "accession")
+    rows = fresh.select("accession", "sequence", F.sha2("sequence", 256).alias("digest")).join(per, ["accession", "digest"])
+    return rows.select("accession", "sequence", "poolings", "dim", "mean_digest")
 
 
 @query("stream_append", f"""
