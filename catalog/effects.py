@@ -114,10 +114,10 @@ def residue_norms(spark, sf):
 S_SQL = "s AS (SELECT p_partkey AS id, upper(replace(p_name, ' ', '')) AS s FROM part)"
 
 
-def names(spark, sf):
-    """Part names without blanks, as short sequences over the Latin letters."""
+def names(spark, sf, *others):
+    """Part names without blanks, as short sequences over the Latin letters, and other columns of the rows."""
     return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence")
+        F.col("p_partkey").alias("id"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence"), *others
     )
 
 
@@ -316,8 +316,7 @@ SELECT c.id, pos::INTEGER AS pos, wt, mut, round(sqrt(2.0) / length(s), 5) AS di
   round(sqrt(2.0) / (least(length(s), pos + 8) - greatest(1, pos - 8) + 1), 5) AS local_delta
 FROM c JOIN q ON q.id = c.id""")
 def variant_effects(spark, sf):
-    size = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    sites = names(spark, sf).join(size, "id").withColumn("pos", (F.col("p_size") % F.length("sequence") + 1).cast("int"))
+    sites = names(spark, sf, "p_size").withColumn("pos", (F.col("p_size") % F.length("sequence") + 1).cast("int"))
     rows = va.landscape_sites(sites, "id", "sequence", "pos", LETTERS)
     out = substitution_effects(rows, em.OneHotEncoder(LETTERS), lengths=(1, 2048), alphabet=LETTERS)
     return out.select("id", "pos", "wt", "mut", "displacement", "relative_displacement", "cosine", "global_delta", "local_delta")

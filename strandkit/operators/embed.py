@@ -28,6 +28,18 @@ class Encoder(Protocol):
     def encode(self, sequences: list[str]) -> list[tuple[np.ndarray, np.ndarray]]: ...
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _means(parts: list[np.ndarray]) -> np.ndarray:
+    """The mean row of each matrix of a batch."""
+    sizes = np.array([len(p) for p in parts])
+    if len(parts) < 2 or not sizes.all():
+        return np.array([p.mean(axis=0) for p in parts])
+    return np.add.reduceat(np.concatenate(parts), np.r_[0, np.cumsum(sizes)[:-1]], axis=0) / sizes[:, None]
+
+
 class OneHotEncoder:
     """One dimension per alphabet symbol; its mean pooling is the composition."""
 
@@ -36,13 +48,10 @@ class OneHotEncoder:
         self.alphabet = alphabet
 
     def encode(self, sequences):
-        order = np.array([ord(s) for s in self.alphabet])
-        out = []
-        for seq in sequences:
-            codes = np.array([ord(s) for s in seq], dtype=np.int64)
-            rows = (codes[:, None] == order[None, :]).astype(np.float64)
-            out.append((rows.mean(axis=0), rows))
-        return out
+        rows = (_points("".join(sequences))[:, None] == _points(self.alphabet)[None, :]).astype(np.float64)
+        ends = np.cumsum([len(s) for s in sequences])
+        parts = np.split(rows, ends[:-1]) if len(sequences) else []
+        return list(zip(_means(parts), parts))
 
 
 class HashingEncoder:
@@ -59,10 +68,12 @@ class HashingEncoder:
             self._table = rng.normal(size=(2 * self.window + 1, 256, self.dim)) / np.sqrt(self.dim)
         out = []
         for seq in sequences:
-            codes = np.array([ord(s) % 256 for s in seq], dtype=np.int64)
+            codes = (_points(seq) % 256).astype(np.int64)
             padded = np.pad(codes, self.window)
-            rows = sum(self._table[o][padded[o:o + len(codes)]] for o in range(2 * self.window + 1))
-            rows = np.tanh(rows)
+            rows = self._table[0][padded[:len(codes)]]
+            for o in range(1, 2 * self.window + 1):
+                rows += self._table[o][padded[o:o + len(codes)]]
+            np.tanh(rows, out=rows)
             out.append((np.tanh(rows.sum(axis=0) / np.sqrt(len(codes))), rows))
         return out
 
@@ -79,6 +90,18 @@ def _pool(lead: np.ndarray, rows: np.ndarray, name: str, weights: AttentionWeigh
     return (e / e.sum()) @ rows
 
 
+def _pools(encoded: list[tuple[np.ndarray, np.ndarray]], name: str, weights: AttentionWeights | None) -> list[np.ndarray]:
+    """The pooled vectors of a batch."""
+    if name == "mean":
+        return list(_means([rows for _, rows in encoded]))
+    return [_pool(*e, name, weights) for e in encoded]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
+
 def valid_sequences(
     df: DataFrame, ident: str, seq: str, lengths: tuple[int, int] = C.ADHOC_LENGTHS, alphabet: str = C.AMINO_ACIDS
 ) -> DataFrame:
@@ -126,15 +149,14 @@ def embed(
     def run(batches):
         for ids, seqs in _token_batches(batches, token_budget):
             encoded = encoder.encode(seqs)
-            out = [(i, p, _pool(*e, p, weights)) for i, e in zip(ids, encoded) for p in poolings]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([o[0] for o in out], pa.string() if id_type == "string" else pa.int64()),
-                    pa.array([o[1] for o in out], pa.string()),
-                    pa.array([o[2] for o in out], pa.list_(pa.float64())),
-                ],
-                ["id", "pooling", "vector"],
-            )
+            for p in poolings:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.string() if id_type == "string" else pa.int64()),
+                        pa.array([p] * len(ids), pa.string()), _lists(_pools(encoded, p, weights)),
+                    ],
+                    ["id", "pooling", "vector"],
+                )
 
     kind = "string" if id_type == "string" else "bigint"
     return rows.mapInArrow(run, f"id {kind}, pooling string, vector array<double>")
@@ -184,7 +206,6 @@ def encode_changes(
     def run(batches):
         for batch in batches:
             left, right = batch.column(wild).to_pylist(), batch.column(mutant).to_pylist()
-            out = []
             start = 0
             while start < len(left):
                 stop, longest = start, 0
@@ -193,19 +214,21 @@ def encode_changes(
                     stop += 1
                 names = list(dict.fromkeys(left[start:stop]))
                 encoded = encoder.encode(names + right[start:stop])
-                known = dict(zip(names, encoded))
-                for w, (lead, matrix) in zip(left[start:stop], encoded[len(names):]):
-                    lead_w, matrix_w = known[w]
-                    out.append((
-                        _pool(lead_w, matrix_w, pooling, weights), _pool(lead, matrix, pooling, weights),
-                        np.linalg.norm(matrix - matrix_w, axis=1),
-                    ))
+                pooled = _pools(encoded, pooling, weights)
+                at = {w: i for i, w in enumerate(names)}
+                place = [at[w] for w in left[start:stop]]
+                sizes = [len(rows) for _, rows in encoded[len(names):]]
+                moved = np.concatenate([rows for _, rows in encoded[len(names):]]) - np.concatenate([encoded[i][1] for i in place])
+                ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns, _lists([pooled[i] for i in place]), _lists(pooled[len(names):]),
+                        pa.ListArray.from_arrays(ends, pa.array(np.linalg.norm(moved, axis=1))),
+                    ],
+                    [*batch.schema.names, "z", "m", "deltas"],
+                )
                 start = stop
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array([o[i] for o in out], kind) for i in range(3)]],
-                [*batch.schema.names, "z", "m", "deltas"],
-            )
 
     return rows.mapInArrow(run, fields + ", z array<double>, m array<double>, deltas array<double>")
 
