@@ -211,10 +211,12 @@ def compare_split_methods(
         splits = reliable_checkpoint(make_splits(groups, seed=seed))
         parts.append(metric_rows(group_statistics(groups, kind=None), name, "groups", "all"))
         parts.append(metric_rows(split_summary(splits), name, "split", F.col("split")))
-        placed = corpus.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).join(splits.select("id", "split"), "id")
+        # the tables grow with the corpus, their files much less: the hints keep them from the driver
+        dealt = splits.select("id", "split").hint("merge")
+        placed = corpus.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).join(dealt, "id")
         audit = audit_leakage(placed, "id", "seq", "split", audit_pairs, 4, seed, alphabet)
         parts.append(metric_rows(audit, name, "audit", F.col("stratum")))
-        labelled = store.join(labels, "id").join(splits.select("id", "split"), "id")
+        labelled = store.join(labels.hint("merge"), "id").join(dealt, "id")
         for task, least in tasks.items():
             parts.append(metric_rows(run_probe(labelled, "vector", task, "split", least), name, "probe", task))
     names = list(fixed)
