@@ -146,7 +146,7 @@ def compare_pairs(
 
 def pair_agreement(pairs: DataFrame, groups_a: DataFrame, groups_b: DataFrame) -> DataFrame:
     """(a, b, same_a, same_b): whether each grouping joins the pair."""
-    both = groups_a.select("id", F.col("group_id").alias("ga")).join(groups_b.select("id", F.col("group_id").alias("gb")), "id")
+    both = groups_a.select("id", F.col("group_id").alias("ga")).join(groups_b.select("id", F.col("group_id").alias("gb")).hint("merge"), "id")
     left = both.select(F.col("id").alias("a"), F.col("ga").alias("ga1"), F.col("gb").alias("gb1"))
     right = both.select(F.col("id").alias("b"), F.col("ga").alias("ga2"), F.col("gb").alias("gb2"))
     return pairs.join(left, "a").join(right, "b").select(

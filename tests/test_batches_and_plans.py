@@ -29,3 +29,13 @@ def test_a_batch_is_encoded_as_its_rows():
         assert np.array_equal(rows, want) and np.array_equal(lead, want.mean(axis=0))
     assert np.array_equal(em._pools(encoder.encode(texts), "mean", None), [lead for lead, _ in encoder.encode(texts)])
     assert encoder.encode([]) == []
+
+
+def test_growing_tables_of_a_comparison_are_joined_by_sorting(spark):
+    from strandkit.operators.lookup import pair_agreement
+
+    groups = spark.range(100).selectExpr("id", "id % 7 AS group_id")
+    pairs = spark.createDataFrame([(1, 8), (2, 3)], "a long, b long")
+    got = pair_agreement(pairs, groups, groups.selectExpr("id", "id % 2 AS group_id"))
+    assert "SortMergeJoin" in plan_of(got)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 8, True, False), (2, 3, False, False)]
