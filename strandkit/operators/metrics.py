@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from strandkit import constants as C
 from strandkit.functions.stats import spearman_p_value
+from strandkit.operators.knn import BATCH_BYTES
 from strandkit.operators.ranking import cumulative_before, group_quantiles, ranks_from, slice_bounds
-from strandkit.session import reliable_checkpoint
+from strandkit.session import reliable_checkpoint, shuffle_width
 
 
 def one_row(*tables: DataFrame) -> DataFrame:
@@ -246,50 +247,84 @@ def sampled_disagreement(pairs: DataFrame) -> DataFrame:
     )
 
 
+# Bytes of the anchors that a task of the loss holds; lanes of a large batch.
+HELD_BYTES, LANES = 256 << 20, 6
+
+
 def contrastive_loss(
     rows: DataFrame, batch: str, ident: str, label: str, vec: str, temperature: float = 0.1, block_rows: int = 1024
 ) -> DataFrame:
     """Supervised contrastive loss per batch; a batch without positives scores 0.
 
-    A batch may hold any number of rows: it is cut into blocks, each pair of blocks is one matrix
-    product, and only partial sums per anchor leave a task.  A row without a label has no positives.
+    A batch may hold any number of rows: it is cut into blocks.  Its blocks of anchors are dealt to
+    super-blocks that fit a task's memory, all its blocks to lanes; a (super-block, lane) holds its
+    anchors and streams the blocks of its lane past them, so a row is sent as often as there are
+    super-blocks and lanes, not blocks.  Only partial sums per anchor leave a task.  A row without a
+    label has no positives.
     """
+    vec_type = dict(rows.dtypes)[vec]
     base = rows.select(
         F.col(batch).alias("batch"), F.col(ident).cast("string").alias("i"), F.col(label).cast("string").alias("y"),
-        F.col(vec).cast("array<double>").alias("z"),
+        F.col(vec).cast(vec_type if vec_type == "array<float>" else "array<double>").alias("z"),
+    )
+    held = F.ceil(F.sum(F.size("z")) * 8 / HELD_BYTES)
+    sizes = base.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks"), held.alias("held")).select(
+        "batch", "n_blocks", F.least("n_blocks", F.greatest("held", F.lit(LANES))).cast("int").alias("supers"),
+        F.least("n_blocks", F.lit(LANES)).alias("lanes"),
     )
-    sizes = base.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks"))
     packed = reliable_checkpoint(
         base.join(sizes, "batch").withColumn("block", F.pmod(F.xxhash64("i"), F.col("n_blocks")).cast("int"))
-        .groupBy("batch", "n_blocks", "block").agg(F.collect_list(F.struct("i", "y", "z")).alias("r"))
-        .select("batch", "n_blocks", "block", F.col("r.i").alias("i"), F.col("r.y").alias("y"), F.flatten("r.z").alias("z"))
+        .groupBy("batch", "supers", "lanes", "block").agg(F.collect_list(F.struct("i", "y", "z")).alias("r"))
+        .select("batch", "supers", "lanes", "block", F.col("r.i").alias("i"), F.col("r.y").alias("y"), F.flatten("r.z").alias("z"))
     )
-    # every block of anchors meets every block of its batch
-    anchors = packed.select(
-        "batch", F.col("i").alias("ai"), F.col("y").alias("ay"), F.col("z").alias("az"),
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-    )
-    met = anchors.join(packed.drop("n_blocks"), ["batch", "block"]).select("batch", "ai", "ay", "az", "i", "y", "z")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # every block of anchors meets every block of its batch; a task's anchors come first
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    anchors = packed.select("batch", F.pmod("block", "supers").alias("s"), every("lanes").alias("lane"), F.lit(0).alias("side"), "block", "i", "y", "z")
+    others = packed.select("batch", every("supers").alias("s"), F.pmod("block", "lanes").alias("lane"), F.lit(1).alias("side"), "block", "i", "y", "z")
+    task = ["batch", "s", "lane"]
+    streams = anchors.unionByName(others).repartition(shuffle_width(rows.sparkSession), *task).sortWithinPartitions(*task, "side", "block")
     batch_type = dict(packed.dtypes)["batch"]
     # similarities are bounded by 1 / temperature: shifting by it keeps exp in range
     top = 1.0 / temperature
 
+    def numbers(left: list, right: list) -> list[np.ndarray]:
+        known = {None: -1}
+        return [np.array([known.setdefault(x, len(known)) for x in side]) for side in (left, right)]
+
+    def sums(key: pa.Array, slabs: list):
+        for ids, _, _, total in slabs:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.to_pylist() * len(ids), key.type), pa.array(ids, pa.string()), pa.array(total[0]), pa.array(total[1]), pa.array(total[2].astype(np.int64))],
+                ["batch", "i", "exps", "positive", "n_positive"],
+            )
+
     def run(batches):
+        now, key, slabs = None, None, []
         for b in batches:
             column = lambda name: b.column(b.schema.get_field_index(name))
             for row in range(b.num_rows):
-                read = lambda name: column(name)[row].values.to_numpy(zero_copy_only=False)
-                ai, i, ay, y = read("ai"), read("i"), read("ay"), read("y")
-                unit = lambda flat, n: (m := flat.reshape(n, -1)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), C.EPSILON)
-                s = unit(read("az"), len(ai)) @ unit(read("z"), len(i)).T / temperature
-                other = ai[:, None] != i[None, :]
-                same = other & (ay[:, None] == y[None, :]) & np.array([v is not None for v in ay])[:, None]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(column("batch").slice(row, 1).to_pylist() * len(ai), column("batch").type), pa.array(ai, pa.string()),
-                    pa.array((np.exp(s - top) * other).sum(axis=1)), pa.array((s * same).sum(axis=1)), pa.array(same.sum(axis=1)),
-                ], ["batch", "i", "exps", "positive", "n_positive"])
-
-    part = met.mapInArrow(run, f"batch {batch_type}, i string, exps double, positive double, n_positive bigint")
+                here = tuple(column(name)[row].as_py() for name in task)
+                if here != now:
+                    if slabs:
+                        yield from sums(key, slabs)
+                    now, key, slabs = here, column("batch").slice(row, 1), []
+                ids, labels = column("i")[row].as_py(), column("y")[row].as_py()
+                m = column("z")[row].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), C.EPSILON)
+                if not column("side")[row].as_py():
+                    slabs.append((ids, labels, unit, np.zeros((3, len(ids)))))
+                    continue
+                for a_ids, a_labels, a_unit, total in slabs:
+                    s = a_unit @ unit.T / temperature
+                    (ai, i), (ay, y) = numbers(a_ids, ids), numbers(a_labels, labels)
+                    other = ai[:, None] != i[None, :]
+                    same = other & (ay[:, None] == y[None, :]) & (ay >= 0)[:, None]
+                    total += (np.exp(s - top) * other).sum(axis=1), (s * same).sum(axis=1), same.sum(axis=1)
+        if slabs:
+            yield from sums(key, slabs)
+
+    part = streams.mapInArrow(run, f"batch {batch_type}, i string, exps double, positive double, n_positive bigint")
     whole = part.groupBy("batch", "i").agg(*[F.sum(c).alias(c) for c in ("exps", "positive", "n_positive")])
     gain = F.when(F.col("n_positive") > 0, F.col("positive") / F.col("n_positive") - (F.log("exps") + top))
     return whole.groupBy("batch").agg(F.coalesce(-F.avg(gain), F.lit(0.0)).alias("loss"))

@@ -39,3 +39,17 @@ def test_growing_tables_of_a_comparison_are_joined_by_sorting(spark):
     got = pair_agreement(pairs, groups, groups.selectExpr("id", "id % 2 AS group_id"))
     assert "SortMergeJoin" in plan_of(got)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 8, True, False), (2, 3, False, False)]
+
+
+def test_rows_of_a_loss_are_sent_a_few_times(spark, monkeypatch):
+    from strandkit.operators import metrics as mt
+
+    sent = []
+    keep = mt.reliable_checkpoint
+    monkeypatch.setattr(mt, "reliable_checkpoint", lambda df: sent.append(keep(df)) or sent[-1])
+    rows = spark.range(600).selectExpr("'all' AS batch", "id", "id % 5 AS label", "array(sin(id), cos(id), 0.5D) AS vector")
+    small = mt.contrastive_loss(rows, "batch", "id", "label", "vector", block_rows=10).first()["loss"]
+    n_sent = sent[0].selectExpr("sum(size(i) * (supers + lanes))").first()[0]
+    assert n_sent <= 600 * 2 * mt.LANES and sent[0].count() > 50
+    whole = mt.contrastive_loss(rows, "batch", "id", "label", "vector", block_rows=1000).first()["loss"]
+    assert abs(small - whole) < 1e-9
