@@ -398,7 +398,7 @@ z AS (SELECT *, CASE WHEN strpos('{AA}', s[1]) = 0 THEN 'wild-type symbol' WHEN
 
 
 def chain_rows(spark, sf):
-    rows = names(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    rows = names(spark, sf, "p_size")
     s = lambda i: F.substring("sequence", F.lit(i), F.lit(1))
     return rows.withColumn("mutations", F.array(
         F.concat(s(1), F.lit("1W")), F.concat(F.lit("W1"), F.when(F.col("p_size") % 4 == 0, s(1)).otherwise("Y")),

@@ -10,6 +10,7 @@ from strandkit.functions import columns as fc
 from strandkit.operators import variants as va
 from strandkit.operators.embed import Encoder, embed, encode_changes
 from strandkit.operators.pooling import AttentionWeights
+from strandkit.session import reliable_checkpoint
 
 
 def parsed_requests(requests: DataFrame, seq: str, alphabet: str = C.AMINO_ACIDS) -> DataFrame:
@@ -70,14 +71,16 @@ def trajectories(
     problems = cleaned.filter(refused.isNotNull()).select(ident, refused.alias("reason")).unionByName(
         built.filter("reason is not null").select(ident, "reason")
     )
-    points = va.chain_steps(built, ident).withColumn("__key", F.sha2("sequence", 256))
+    # written once: the folds, the steps and their labels below all read it
+    points = reliable_checkpoint(va.chain_steps(built, ident).withColumn("__key", F.sha2("sequence", 256)))
     # a sequence that several chains visit is encoded once
     distinct = points.groupBy(F.col("__key").alias("id")).agg(F.first("sequence").alias("sequence"))
     vectors = embed(distinct, encoder, poolings=(pooling,), lengths=lengths, alphabet=alphabet).select(
         F.col("id").alias("__key"), "vector"
     )
-    placed = points.join(vectors, "__key").withColumnRenamed("step", "position")
-    steps = va.trajectory_steps(placed, ident, ["position"], "vector").join(
-        points.select(ident, F.col("step").alias("position"), F.col("label").alias("mutation")), [ident, "position"]
-    )
+    placed = reliable_checkpoint(points.join(vectors, "__key").select(
+        ident, F.col("step").alias("position"), F.col("label").alias("mutation"), "vector"
+    ))
+    labels = placed.select(ident, "position", "mutation").hint("merge")
+    steps = reliable_checkpoint(va.trajectory_steps(placed, ident, ["position"], "vector").join(labels, [ident, "position"]))
     return va.cumulative_labels(steps.drop("position"), ident, "mutation"), va.path_summary(steps, ident), problems

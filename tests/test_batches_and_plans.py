@@ -53,3 +53,17 @@ def test_rows_of_a_loss_are_sent_a_few_times(spark, monkeypatch):
     assert n_sent <= 600 * 2 * mt.LANES and sent[0].count() > 50
     whole = mt.contrastive_loss(rows, "batch", "id", "label", "vector", block_rows=1000).first()["loss"]
     assert abs(small - whole) < 1e-9
+
+
+def test_trajectories_are_computed_once(spark):
+    # the summary reads written steps instead of folding and encoding the chains again
+    plan = plan_of(entry.queries()["traj_mutations"](spark, SF))
+    assert "Broadcast" not in plan and "MapInArrow" not in plan
+
+
+def test_hashed_contexts_are_summed_in_order():
+    encoder = em.HashingEncoder(4, window=1)
+    (lead, rows), = encoder.encode(["ABé"])
+    codes = [0, 65, 66, 233, 0]
+    want = np.tanh([sum(encoder._table[o][codes[i + o]] for o in range(3)) for i in range(3)])
+    assert np.array_equal(rows, want) and np.array_equal(lead, np.tanh(rows.sum(axis=0) / np.sqrt(3)))
