@@ -270,3 +270,32 @@ def test_recall_at_defaults(spark, store):
     exact = reliable_checkpoint(kn.knn(df, df, 10))
     recalls = {f.__name__: float(mt.recall_at_k(exact, f(df, df, 10), 10).first()["recall_at_10"]) for f in (ann.cell_knn, ann.signature_knn)}
     assert min(recalls.values()) >= 0.9
+
+
+def test_centres_of_a_large_sample_are_drawn_in_tasks(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows of the sample came to the driver")
+
+    rng = np.random.default_rng(3)
+    middles = kn.unit_rows(rng.normal(size=(12 * 16,)), 12)
+    points = np.repeat(middles, 40, axis=0) + rng.normal(size=(480, 16)) * 0.01
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<float>").repartition(5)
+    monkeypatch.setattr(ann, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(ann, "_seeds", refuse)
+    centres = ann.train_centres(df, 24, 1)
+    assert centres.shape == (24, 16)
+    # every cluster has a centre of its own
+    assert ((middles @ centres.T).max(axis=1) > 0.99).all()
+    # fewer rows than cells
+    assert ann.train_centres(df.filter("id < 3"), 8, 1).shape == (3, 16)
+
+
+def test_products_with_centres_are_taken_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    units, centres = kn.unit_rows(rng.normal(size=(50 * 8,)), 50), kn.unit_rows(rng.normal(size=(20 * 8,)), 20)
+    cell = rng.integers(20, size=50)
+    whole = ann._nearest(units, centres), ann._cell_places(units, cell, centres), ann._far(units, centres)
+    monkeypatch.setattr(ann, "SLICE_PAIRS", 64)
+    for a, b in zip(whole, (ann._nearest(units, centres), ann._cell_places(units, cell, centres), ann._far(units, centres))):
+        assert np.allclose(a, b)
+    assert (np.sort(ann._nearest_cells(units, centres, 20)[1].reshape(50, 20), axis=1) == np.arange(20)).all()
