@@ -228,3 +228,37 @@ def test_hashed_numbers_pass_32_bits(spark):
         fc.hash_index(1, F.lit(1 << 59), F.col("id")).alias("i"), fc.hash_fraction(1, F.col("id")).alias("f")
     ).collect()
     assert sum(r["i"] > 1 << 33 for r in rows) > 190 and all(0 < r["f"] < 1 for r in rows)
+
+
+def test_packed_classes_lose_no_pair(spark, monkeypatch):
+    from strandkit.operators import overlap
+
+    monkeypatch.setattr(overlap, "CLASS_ROWS", 60)  # several classes in each band
+    monkeypatch.setattr(overlap, "PRODUCTS", 50)
+    monkeypatch.setattr(overlap, "COUNTED", 500)  # the order comes from a part of the sets
+    rng = random.Random(9)
+    rows = []
+    for n in (6, 20, 45, 90, 160):
+        base = sequence(rng, n)
+        # near copies, and prefixes down to half, where the threshold is just met
+        rows += [base, mutate(rng, base, 2), base[:n // 2 + 3], base[:n // 2 + 2], base + sequence(rng, n // 3), base]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, seq string")
+    first = {}
+    for i, s in enumerate(rows):
+        first.setdefault(s, i)
+    for threshold in (0.2, 0.5):
+        want = {
+            (min(i, j), max(i, j)): jaccard(a, b, 4)
+            for (a, i), (b, j) in combinations(first.items(), 2) if jaccard(a, b, 4) >= threshold
+        }
+        got = {(r["a"], r["b"]): r["jaccard"] for r in km.jaccard_pairs(df, "id", "seq", 4, threshold).collect()}
+        assert got == pytest.approx(want) and len(got) >= 20
+    left, right = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    got = {r["a"]: (r["b"], r["jaccard"]) for r in km.best_match(left, right, "id", "seq", 4, 0.2).collect()}
+    want = {}
+    for i, a in enumerate(rows):
+        if i % 2 == 0:
+            j, b = min(((-jaccard(a, b, 4), j) for j, b in enumerate(rows) if j % 2), default=(0, None))
+            if -j >= 0.2:
+                want[i] = (b, pytest.approx(-j))
+    assert got == want and len(got) >= 10
