@@ -297,3 +297,10 @@ def test_loss_by_blocks(spark):
             if mates:
                 losses.append(np.log(sum(np.exp(x) for x in s.values())) - np.mean([s[j] for j in mates]))
         assert got[b] == pytest.approx(np.mean(losses))
+
+
+def test_containment_over_several_classes(spark, monkeypatch):
+    from strandkit.operators import overlap
+
+    monkeypatch.setattr(overlap, "CLASS_ROWS", 15)
+    test_containment_equals_brute_force(spark, monkeypatch, 10_000)
