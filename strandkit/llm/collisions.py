@@ -10,8 +10,8 @@ with their cosines.  R grows by ``GROWTH`` (virtual rehashing: the windows of a
 contain those of a smaller one, and only what is added is counted) until the k-th verified
 vector lies within R; the last radius takes all vectors.  Nothing caps the number of candidates.
 
-Blocks of queries meet all blocks of the index.  A task that has seen k vectors opens the
-windows of its next blocks at the distance of the k-th at once.
+Blocks of queries meet all blocks of the index.  A query first meets the vectors beside it in
+each projection; one that has seen k vectors opens its windows at the distance of the k-th at once.
 
 Equal vectors are one vector with the k + 1 smallest of their ids, as no search can return
 more of them.  Vectors that are null, empty, zero, or hold null or non-finite components,
@@ -37,6 +37,11 @@ PROJECTIONS = 64
 REACH, MISS = 1.0, 0.01
 FIRST_RADIUS, GROWTH = 0.05, 1.25
 BLOCK_ROWS, QUERY_ROWS = 4096, 2048
+# Windows that hold more than this share of a block are counted by all ranks at once, and candidates of more than
+# this share are scored by one product first; SLACK is beyond the error of that product.
+DENSE, SLACK = 1 / 32, 1e-9
+# Vectors on each side of a query, in every projection, that give it a first bound.
+BESIDE = 2
 SEED = 11
 
 INDEX_SCHEMA = "dim int, block int, vecs binary, ids array<bigint>, ends array<int>, sorted binary, places binary"
@@ -133,6 +138,11 @@ class _Block:
         self.ids = column_of(batch, "ids")[row].values.to_numpy(zero_copy_only=False)
         ends = column_of(batch, "ends")[row].values.to_numpy(zero_copy_only=False)
         self.starts, self.lengths = np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])
+        # the rank of each place in each projection
+        n = len(self.norms)
+        self.ranks = np.empty(self.places.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, self.places, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
+        self.units = self.vecs / self.norms[:, None]
 
     def windows(self, values: np.ndarray, radius) -> tuple[np.ndarray, np.ndarray]:
         """First and last places of each query's windows, [queries, projections]."""
@@ -149,8 +159,33 @@ class _Block:
         if inside:
             counts += np.bincount(np.concatenate(inside), minlength=len(counts))
 
+    def beside(self, at: np.ndarray) -> np.ndarray:
+        """The places around a rank of each projection."""
+        ranks = np.clip(at[:, None] + np.arange(-BESIDE, BESIDE), 0, len(self.norms) - 1)
+        return np.unique(np.take_along_axis(self.places, ranks, axis=1))
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The collisions of each place in whole windows, [projections] each."""
+        if (high - low).sum() < DENSE * self.places.size:
+            counts = np.zeros(len(self.norms), dtype=np.int64)
+            self.count(counts, [(i, a, b) for i, (a, b) in enumerate(zip(low, high))])
+            return counts
+        # a rank below the window wraps to a large number
+        kind = self.ranks.dtype
+        inside = (self.ranks - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)  # PROJECTIONS at most
+
     def verify(self, held, query_id: int, query: np.ndarray, norm: float, places: np.ndarray, k: int):
         """The k best of what is held, and of these places: (scores, ids)."""
+        if len(places) > max(4 * k, DENSE * len(self.norms)):
+            # those that are surely not among the k + 1 best of the block, or below the k-th held, are not scored
+            rough = (self.units @ (query / norm))[places]
+            least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+            if len(held[0]) >= k:
+                least = max(least, held[0][k - 1])
+            places = places[rough >= least - SLACK]
+            if not len(places):
+                return held
         scores = np.einsum("ij,j->i", self.vecs[places], query) / (self.norms[places] * norm)
         if len(scores) > k + 1:  # one of them may be the query itself
             least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
@@ -182,14 +217,17 @@ class _Queries:
         self.k, self.least = k, threshold()
 
     def visit(self, block: _Block) -> None:
+        # vectors beside a query in the sorted projections give it a first bound
+        first = np.array([q for q, h in enumerate(self.held) if len(h[0]) < self.k], dtype=np.int64)
+        beside, _ = block.windows(self.values[first], 0.0)
+        for row, q in enumerate(first):
+            self._verify(block, q, block.beside(beside[row]))
         reach = np.array([_distance(h[0], self.k) for h in self.held])
         # a bound is known: one window at the distance of the k-th vector held
         known = np.flatnonzero(np.isfinite(reach))
         low, high = block.windows(self.values[known], reach[known])
         for row, q in enumerate(known):
-            counts = np.zeros(len(block.norms), dtype=np.int64)
-            block.count(counts, [(i, a, b) for i, (a, b) in enumerate(zip(low[row], high[row]))])
-            self._verify(block, q, np.flatnonzero(counts >= self.least))
+            self._verify(block, q, np.flatnonzero(block.within(low[row], high[row]) >= self.least))
         # no bound yet: widen the windows until k vectors lie within the radius
         open_ = np.flatnonzero(~np.isfinite(reach))
         n = len(block.norms)
@@ -200,11 +238,10 @@ class _Queries:
             low, high = block.windows(self.values[open_], radius)
             for row, q in enumerate(open_):
                 counts, seen, old = state[q]
-                if old is None:
-                    spans = [(i, a, b) for i, (a, b) in enumerate(zip(low[row], high[row]))]
+                if old is None or (high[row] - low[row]).sum() >= DENSE * block.places.size:
+                    counts = block.within(low[row], high[row]).astype(np.int64)
                 else:
-                    spans = [x for i in range(PROJECTIONS) for x in ((i, low[row, i], old[0][i]), (i, old[1][i], high[row, i]))]
-                block.count(counts, spans)
+                    block.count(counts, [x for i in range(PROJECTIONS) for x in ((i, low[row, i], old[0][i]), (i, old[1][i], high[row, i]))])
                 found = np.flatnonzero(((counts >= self.least) | math.isinf(radius)) & ~seen)
                 seen[found] = True
                 state[q] = (counts, seen, (low[row], high[row]))
