@@ -42,7 +42,7 @@ def kmer_frequencies(df: DataFrame, ident: str, seq: str, k: int = 3, alphabet:
 def composition(df: DataFrame, ident: str, seq: str, alphabet: str = C.AMINO_ACIDS) -> DataFrame:
     """Share of each symbol over the full length, as one array in alphabet order."""
     size = F.greatest(F.length(seq), F.lit(1))
-    shares = [F.length(F.regexp_replace(F.col(seq), f"[^{s}]", "")) / size for s in alphabet]
+    shares = [(F.length(seq) - F.length(F.replace(F.col(seq), F.lit(s), F.lit("")))) / size for s in alphabet]
     return df.select(ident, F.array(*shares).alias("vector"))
 
 
