@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandkit import constants as C
 from strandkit.operators.overlap import candidates, count_rarity, mix
@@ -15,6 +17,8 @@ from strandkit.session import reliable_checkpoint
 
 # Sets that a task keeps while it compares pairs.
 RECENT_SETS = 128
+# Symbols of a left table that goes whole to every task.
+FEW_SYMBOLS = 1 << 20
 
 
 def windows(seq: Column, k: int, alphabet: str | None = None) -> Column:
@@ -216,10 +220,63 @@ def best_match(
     left: DataFrame, right: DataFrame, ident: str, seq: str,
     k: int = C.LINK_K, threshold: float = C.LINK_THRESHOLD,
 ) -> DataFrame:
-    """(a, b, jaccard): the most similar right row of each left row, ties by id."""
-    near, members = similar_sequences(_slim(left, ident, seq), _slim(right, ident, seq), k, threshold)
+    """(a, b, jaccard): the most similar right row of each left row, ties by id.
+
+    A left table of few symbols goes to every task, which reads its part of the right table once."""
+    left, right = _slim(left, ident, seq), _slim(right, ident, seq)
+    some = left.filter(F.length("seq") >= k)
+    # every row counted has k symbols at least
+    symbols = some.select(F.length("seq").alias("n")).limit(FEW_SYMBOLS // k + 1).agg(F.sum("n")).first()[0] or 0
+    if symbols <= FEW_SYMBOLS:
+        return _best_of_few(some, right, k, threshold)
+    near, members = similar_sequences(left, right, k, threshold)
     best = near.join(_representatives(members, 1, "kb", "b"), "kb").groupBy("ka").agg(
         F.min_by(F.struct("b", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "b")).alias("best")
     )
     rows = members.filter("side = 0").select(F.col("id").alias("a"), F.col("key").alias("ka"))
     return rows.join(best, "ka").select("a", "best.b", "best.jaccard")
+
+
+def _best_of_few(left: DataFrame, right: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``best_match`` for a left table (id, seq) of few symbols.
+
+    Tasks hold the windows of the distinct left texts and, for each text, the best right row so far:
+    no pair and no right text is shuffled."""
+    texts = [r["seq"] for r in left.select("seq").distinct().collect()]  # ``FEW_SYMBOLS`` at most
+    sets = [window_numbers(t, k) for t in texts]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    elements = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(elements, kind="stable")
+    known, starts = np.unique(elements[order], return_index=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    sigs = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    shared = left.sparkSession.sparkContext.broadcast((sigs, sizes, known, np.r_[starts, len(order)], holders))
+    id_type = right.schema["id"].dataType
+
+    def search(batches):
+        sigs, sizes, known, starts, holders = shared.value
+        best = {}
+        for batch in batches if len(known) else ():
+            ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "seq"))
+            for ident, text in zip(ids, texts):
+                found = window_numbers(text, k)
+                at = np.searchsorted(known, found)
+                at[at == len(known)] = 0
+                at = at[known[at] == found]
+                n = starts[at + 1] - starts[at]
+                rows = holders[np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)]
+                row, common = np.unique(rows, return_counts=True)
+                share = common / (sizes[row] + len(found) - common)
+                for i in np.flatnonzero(share >= threshold - 1e-12).tolist():
+                    mine = (-float(share[i]), ident is None, ident)
+                    key = int(row[i])
+                    if key not in best or mine < best[key]:
+                        best[key] = mine
+        schema = pa.schema([("sig", pa.string()), ("b", to_arrow_type(id_type)), ("jaccard", pa.float64())])
+        rows = [{"sig": sigs[key], "b": ident, "jaccard": -j} for key, (j, _, ident) in best.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    met = right.filter(F.length("seq") >= k).mapInArrow(search, f"sig string, b {id_type.simpleString()}, jaccard double")
+    best = met.groupBy("sig").agg(F.min_by(F.struct("b", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "b")).alias("best"))
+    rows = left.select(F.col("id").alias("a"), F.sha2("seq", 256).alias("sig"))
+    return rows.join(best, "sig").select("a", "best.b", "best.jaccard")

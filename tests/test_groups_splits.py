@@ -262,3 +262,17 @@ def test_packed_classes_lose_no_pair(spark, monkeypatch):
             if -j >= 0.2:
                 want[i] = (b, pytest.approx(-j))
     assert got == want and len(got) >= 10
+
+
+def test_few_left_rows_meet_without_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    seeds = [sequence(rng, 60) for _ in range(12)]
+    left = [(f"q{i}", mutate(rng, s, i % 7)) for i, s in enumerate(seeds)] + [("copy", seeds[0]), ("short", "AC"), ("none", None)]
+    right = [(f"r{i}", mutate(rng, s, j)) for i, s in enumerate(seeds) for j in (0, 3, 9)] + [("twin", seeds[0]), ("r0", "AC"), ("null", None)]
+    frames = [spark.createDataFrame(rows, "id string, seq string") for rows in (left, right)]
+    matches = lambda: {tuple(r) for r in km.best_match(*frames, "id", "seq", 4, 0.3).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(km, "FEW_SYMBOLS", -1)
+        by_pairs = matches()
+    monkeypatch.setattr(km, "similar_sequences", None)  # no join of pairs
+    assert matches() == by_pairs and {"q0", "copy"} <= {r[0] for r in by_pairs}
