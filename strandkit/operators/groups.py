@@ -72,26 +72,26 @@ def annotation_tokens(family: Column, domains: Column) -> Column:
 def token_groups(df: DataFrame, ident: str, tokens: str) -> DataFrame:
     """(id, group_id) of the rows that carry tokens; a group is named by its smallest token.
 
-    Tokens may be long texts, so the graph has one number per distinct token.  Numbers are
-    dealt once, by place in a written table; rows only contribute the distinct edges from
-    their first token to the others, and read their group by one lookup.
+    Tokens may be long texts, so they stay in their rows: a row keeps its smallest token and the
+    digests of all.  The graph has one number per row; each row is linked to the first one that
+    shares a token.  Rows that share none are their own group and meet no other.
     """
-    rows = df.filter(F.size(tokens) > 0).select(F.col(ident).alias("__id"), F.col(tokens).alias("ts"))
-    # a row's tokens by digest: only the table of distinct tokens holds texts
-    digest = lambda c: F.unhex(F.sha2(c, 256))
-    marked = reliable_checkpoint(rows.select("__id", F.transform("ts", digest).alias("ds")))
-    texts = rows.select(F.explode("ts").alias("token")).distinct()
-    numbered = reliable_checkpoint(texts.select(digest(F.col("token")).alias("d"), "token").withColumn("n", F.monotonically_increasing_id()))
-    links = marked.select(F.get("ds", F.lit(0)).alias("d0"), F.explode("ds").alias("d")).distinct()
-    number = numbered.select("d", "n")
-    edges = links.join(number, "d").select("d0", F.col("n").alias("b")).join(
-        number.select(F.col("d").alias("d0"), F.col("n").alias("a")), "d0"
-    ).select("a", "b")
+    digest = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+    rows = df.filter(F.size(tokens) > 0).select(
+        F.col(ident).alias("__id"), F.array_min(tokens).alias("low"), F.transform(tokens, digest).alias("ds"),
+    ).filter("low is not null")
+    # the checkpoint keeps the numbers fixed
+    marked = reliable_checkpoint(rows.withColumn("n", F.monotonically_increasing_id()))
+    held = marked.select("n", F.explode("ds").alias("d")).filter("d is not null")
+    shared = held.groupBy("d").agg(F.min("n").alias("a"), F.max("n").alias("z")).filter("a < z").select("d", "a")
+    edges = reliable_checkpoint(held.join(shared, "d").filter("n <> a").select("a", F.col("n").alias("b")).distinct())
     parts = connected_components(edges)
-    named = numbered.join(parts, F.col("n") == F.col("node")).select("d", "token", "component")
-    names = named.groupBy("component").agg(F.min("token").alias("group_id"))
-    placed = named.join(names, "component").select(F.col("d").alias("d0"), "group_id")
-    return marked.select("__id", F.get("ds", F.lit(0)).alias("d0")).join(placed, "d0").select(F.col("__id").alias(ident), "group_id")
+    low = marked.select("__id", "low", "n")
+    names = low.join(parts, F.col("n") == F.col("node")).groupBy("component").agg(F.min("low").alias("group_id"))
+    named = parts.join(names, "component").select("node", "group_id")
+    return low.join(named, F.col("n") == F.col("node"), "left").select(
+        F.col("__id").alias(ident), F.coalesce("group_id", "low").alias("group_id")
+    )
 
 
 def assign_groups(

@@ -276,3 +276,29 @@ def test_few_left_rows_meet_without_pairs(spark, monkeypatch):
         by_pairs = matches()
     monkeypatch.setattr(km, "similar_sequences", None)  # no join of pairs
     assert matches() == by_pairs and {"q0", "copy"} <= {r[0] for r in by_pairs}
+
+
+def test_token_groups_keep_long_tokens_in_their_rows(spark, monkeypatch):
+    written = []
+    keep = gr.reliable_checkpoint
+    monkeypatch.setattr(gr, "reliable_checkpoint", lambda df: written.append(keep(df)) or written[-1])
+    long = ["z" * 500 + str(i) for i in range(6)]
+    rows = [(0, ["a", long[0]]), (1, ["b", long[0], long[1]]), (2, [long[1], "c"]), (3, ["d", long[2]]), (4, ["d"]), (5, [long[3], "e"]), (6, [None, "e"]), (7, [])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r["id"]: r["group_id"] for r in gr.token_groups(df, "id", "tokens").collect()}
+    assert got == {0: "a", 1: "a", 2: "a", 3: "d", 4: "d", 5: "e", 6: "e"}
+    texts = [r[0] for table in written for name, kind in table.dtypes if kind == "string" for r in table.select(name).collect()]
+    assert max(map(len, texts)) < 500
+
+
+def test_splits_read_the_groups_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(i):
+        seen.add(1)
+        return f"g{i % 7}"
+
+    splits = sp.make_splits(spark.range(60).select("id", name("id").alias("group_id")))
+    assert splits.count() == 60 and splits.select("group_id", "split").distinct().count() == 7
+    assert seen.value == 60
