@@ -68,7 +68,9 @@ def make_splits(
     """
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    sizes = groups.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    # both are read several times
+    groups = reliable_checkpoint(groups)
+    sizes = reliable_checkpoint(groups.groupBy(group).agg(F.count(F.lit(1)).alias("size")))
     histogram = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]
     total = sum(s * n for s, n in histogram)
     rows = []
