@@ -7,8 +7,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strandkit import constants as C
@@ -19,28 +20,72 @@ from strandkit.session import reliable_checkpoint
 RECENT_SETS = 128
 # Symbols of a left table that goes whole to every task.
 FEW_SYMBOLS = 1 << 20
+# Rows of window counts that leave a task at once.
+COUNT_ROWS = 1 << 16
 
 
-def windows(seq: Column, k: int, alphabet: str | None = None) -> Column:
-    """All overlapping windows; with an alphabet only those made of its symbols.
+def kmer_frequencies(df: DataFrame, ident: str, seq: str, k: int = 3, alphabet: str | None = C.AMINO_ACIDS) -> DataFrame:
+    """Sparse (id, kmer, n, freq); freq divides by the number of kept windows.
 
-    One pass of a look-ahead pattern: linear in the length of the text.
+    The texts are shuffled once and sorted by id; a task counts the windows of one id at a time,
+    so it never holds those of its other ids.
     """
-    symbol = "." if alphabet is None else f"[{alphabet}]"
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({symbol}{{{k}}}))"), F.lit(1))
+    rows = df.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).filter(F.length("seq") >= k)
+    kind = rows.schema["id"].dataType
+    names, types = [ident, "kmer", "n", "freq"], [to_arrow_type(kind), pa.string(), pa.int64(), pa.float64()]
 
+    def count(batches):
+        held, size = [[], [], [], []], 0
 
-def kmer_frequencies(df: DataFrame, ident: str, seq: str, k: int = 3, alphabet: str | None = C.AMINO_ACIDS) -> DataFrame:
-    """Sparse (id, kmer, n, freq); freq divides by the number of kept windows.
+        def put(key, found):
+            total = sum(found.values())
+            for column, values in zip(held, ([key] * len(found), found.keys(), found.values(), [n / total for n in found.values()])):
+                column.extend(values)
+            return len(found)
 
-    The texts are shuffled once by id; the counts of an id then need no second
-    shuffle of the far larger list of windows.
-    """
-    w = df.select(ident, seq).repartition(ident).select(ident, windows(F.col(seq), k, alphabet).alias("w"))
-    long = w.select(ident, F.size("w").alias("total"), F.explode("w").alias("kmer"))
-    return long.groupBy(ident, "kmer").agg(
-        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("total")).alias("freq")
-    )
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(held, types)], names)
+
+        last, counted = None, {}
+        for batch in batches:
+            for key, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "seq"))):
+                found = window_counts(text, k, alphabet)
+                if key == last:
+                    for x, n in found.items():
+                        counted[x] = counted.get(x, 0) + n
+                    continue
+                size += put(last, counted)
+                last, counted = key, found
+                if size >= COUNT_ROWS:
+                    yield packed()
+                    held, size = [[], [], [], []], 0
+        put(last, counted)
+        yield packed()
+
+    sorted_rows = rows.repartition("id").sortWithinPartitions("id")
+    schema = T.StructType([T.StructField(ident, kind)] + [T.StructField(n, t) for n, t in zip(names[1:], (T.StringType(), T.LongType(), T.DoubleType()))])
+    return sorted_rows.mapInArrow(count, schema)
+
+
+def window_counts(text: str, k: int, alphabet: str | None = None) -> dict[str, int]:
+    """How often each window of ``k`` symbols occurs; with an alphabet only those made of its symbols."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    if len(points) < k:
+        return {}
+    symbols, place = np.unique(points, return_inverse=True)
+    base = bound = len(symbols)
+    code = place.astype(np.int64)
+    for i in range(1, k):
+        if bound * base >= 1 << 62:  # numbers are dealt anew, one to one
+            held, code = np.unique(code, return_inverse=True)
+            bound = len(held)
+        code, bound = code[:-1] * base + place[i:], bound * base
+    at = np.arange(len(code))
+    if alphabet is not None:
+        other = np.cumsum(np.r_[0, ~np.isin(points, [ord(x) for x in alphabet])])
+        at = np.flatnonzero(other[k:] == other[:-k])
+    _, first, n = np.unique(code[at], return_index=True, return_counts=True)
+    return {text[i:i + k]: m for i, m in zip(at[first].tolist(), n.tolist())}
 
 
 def composition(df: DataFrame, ident: str, seq: str, alphabet: str = C.AMINO_ACIDS) -> DataFrame:

@@ -302,3 +302,26 @@ def test_splits_read_the_groups_once(spark):
     splits = sp.make_splits(spark.range(60).select("id", name("id").alias("group_id")))
     assert splits.count() == 60 and splits.select("group_id", "split").distinct().count() == 7
     assert seen.value == 60
+
+
+def test_window_counts_match_plain_counting():
+    rng = random.Random(4)
+    for k, symbols in ((1, "AC"), (3, AA + "xé\U0001F600"), (16, "".join(map(chr, range(200, 500)))), (30, "AC")):
+        for n in (0, k - 1, k, 400):
+            text = "".join(rng.choice(symbols) for _ in range(n)) * 2
+            for alphabet in (None, AA):
+                want = {}
+                for i in range(len(text) - k + 1):
+                    w = text[i:i + k]
+                    if alphabet is None or set(w) <= set(alphabet):
+                        want[w] = want.get(w, 0) + 1
+                assert km.window_counts(text, k, alphabet) == want
+
+
+def test_frequencies_count_one_id_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(km, "COUNT_ROWS", 2)
+    rows = [("a", "ACDACD"), ("b", "AXC"), ("a", "ACD"), ("c", None), ("d", "AC"), ("e", "ACDX")]
+    out = km.kmer_frequencies(spark.createDataFrame(rows, "id string, seq string"), "id", "seq", 3)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["id"], r["kmer"]): (r["n"], round(r["freq"], 6)) for r in out.collect()}
+    assert got == {("a", "ACD"): (3, 0.6), ("a", "CDA"): (1, 0.2), ("a", "DAC"): (1, 0.2), ("e", "ACD"): (1, 1.0)}
