@@ -22,7 +22,7 @@ from strandkit.operators.probe import metric_rows, run_probe
 from strandkit.operators.sampling import discordant, downsample, random_pairs, substituted_pairs
 from strandkit.operators.splits import audit_leakage, make_splits, split_summary
 from strandkit.operators.variants import variant_llr
-from strandkit.session import reliable_checkpoint
+from strandkit.session import fits_broadcast, reliable_checkpoint
 
 METRIC_SCHEMA = "representation string, axis string, task string, metric string, value double"
 
@@ -104,8 +104,13 @@ def pair_study(
     pairs = reliable_checkpoint(
         random.withColumn("stratum", F.lit("random")).unionByName(near.withColumn("stratum", F.lit("nn")))
     )
-    rows = lambda s: corpus.select(F.col(ident).alias(s), F.col(seq).alias(f"seq_{s}"), F.col(family).alias(f"f_{s}"))
-    vecs = lambda s: store.select(F.col("id").alias(s), F.col("vector").alias(f"v_{s}"))
+    # the sampled rows are found in one pass over each table; pairs are joined to them only
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = F.broadcast(named) if fits_broadcast(2 * n_pairs, 64) else named
+    texts = reliable_checkpoint(corpus.select(F.col(ident).alias("id"), F.col(seq).alias("seq"), F.col(family).alias("f")).join(named, "id"))
+    vectors = reliable_checkpoint(store.select("id", "vector").join(named, "id"))
+    rows = lambda s: texts.select(F.col("id").alias(s), F.col("seq").alias(f"seq_{s}"), F.col("f").alias(f"f_{s}"))
+    vecs = lambda s: vectors.select(F.col("id").alias(s), F.col("vector").alias(f"v_{s}"))
     wide = pairs.join(rows("a"), "a").join(rows("b"), "b").join(vecs("a"), "a").join(vecs("b"), "b").select(
         "a", "b", "stratum", "seq_a", "seq_b",
         F.round(fv.cosine(F.col("v_a"), F.col("v_b")), 4).alias("cosine"),

@@ -264,3 +264,15 @@ def test_region_search_drops_its_own_record(spark):
     hits = se.region_search(regions, residues, lengths, store, 2).collect()
     assert {r["region"] for r in hits} == {"a:2:12"} and [r["id"] for r in sorted(hits, key=lambda r: r["rank"])] == ["b", "c"]
     assert {r["reason"] for r in se.region_problems(regions, lengths).collect()} == {None, "outside", "short"}
+
+
+def test_pair_study_joins_sampled_rows_only(spark):
+    from strandkit.operators.kmers import composition
+    from strandkit.plans.study import pair_study
+
+    sequence = F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), F.col("id").cast("int") % 7 + 1, F.col("id").cast("int") % 5 + 5)
+    corpus = spark.range(40).select("id", sequence.alias("seq"), (F.col("id") % 3).cast("string").alias("family"))
+    study = pair_study(corpus, composition(corpus, "id", "seq"), "id", "seq", "family", 16)
+    assert "Range (" not in study._jdf.queryExecution().optimizedPlan().toString()
+    rows = study.collect()
+    assert {r["stratum"] for r in rows} == {"random", "nn"} and len({(r["a"], r["b"]) for r in rows}) == len(rows) >= 9
