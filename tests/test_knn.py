@@ -202,6 +202,16 @@ def test_backend_choice(spark, planted):
     assert kn.auto_backend(49_999) == "exact" and kn.auto_backend(50_000) == "approximate"
 
 
+def test_auto_is_exact_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(kn, "APPROXIMATE_FROM", 50)
+    monkeypatch.setattr(ann, "build_cells", lambda *args, **kwargs: pytest.fail("an index was built"))
+    rng = np.random.default_rng(11)
+    # close groups, of which an index leaves most out
+    m = np.repeat(rng.normal(size=(40, 16)), 10, axis=0) + 0.05 * rng.normal(size=(400, 16))
+    df = frame(spark, m)
+    assert as_lists(ann.neighbours(df, df, 15)) == brute(m, range(400), 15)
+
+
 def test_unlabelled_copies_are_misses(spark):
     rng = np.random.default_rng(4)
     centres = np.eye(4, 16) * 6
